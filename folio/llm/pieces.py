@@ -50,7 +50,9 @@ class Vocabulary:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if kinds[i] == BYTE}
         self.unknown = next((i for i, k in enumerate(kinds) if k == UNKNOWN), 0)
         self.single = {p for p in self.ids if len(p) == 1}
-        self.raw = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.shown = list(pieces)
+        for b, i in self.bytes.items():
+            self.shown[i] = chr(b if b < 128 else 0xDC00 + b)
         self.ending = {p[k:]: False for p in self.ids for k in range(len(p))}  # ends of pieces: whether they are pieces
         self.ending.update(dict.fromkeys(self.ids, True))
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -133,20 +135,9 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """Joins pieces, bytes as UTF-8, and takes the dummy mark away."""
-        pieces, raw = self.pieces, self.raw
-        if raw and not raw.keys().isdisjoint(ids):
-            parts, held = [], b""
-            for i in ids:
-                if i in raw:
-                    held += raw[i]
-                else:
-                    if held:
-                        parts.append(held.decode("utf-8", "replace"))
-                        held = b""
-                    parts.append(pieces[i])
-            text = "".join([*parts, held.decode("utf-8", "replace")])
-        else:
-            text = "".join(map(pieces.__getitem__, ids))
+        text = "".join(map(self.shown.__getitem__, ids))
+        if not text.isascii():  # escaped bytes become what they spell
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         return text.replace(MARK, " ")[1:]
 
 
