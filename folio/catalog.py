@@ -1,23 +1,244 @@
-"""All queries of the page engine, by row of the operator inventory."""
+"""All queries of the page engine, by row of the operator inventory (``o018_...``), with their SQL for DuckDB.
+
+The SQL is written for itself, over views of the same pages; every computed column is cast alike on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio import rasters
+from folio.operators import areas, points, profiles
+from folio.sources import batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+PX = """px AS (SELECT vec_id AS page_id, i // 8 AS y, i % 8 AS x,
+  CAST(least(255, greatest(0, floor((CAST(embedding[i + 1] AS DOUBLE) + 0.5) * 255))) AS BIGINT) AS v FROM embeddings, range(64) t(i))"""
+PXC = """level AS (SELECT vec_id, j, CAST(least(255, greatest(0, floor((CAST(embedding[j + 1] AS DOUBLE) + 0.5) * 255))) AS BIGINT) AS v FROM embeddings, range(64) t(j)),
+  pxc AS (SELECT p.vec_id AS page_id, p.j // 8 AS y, p.j % 8 AS x, p.v AS b, q.v AS g, s.v AS r FROM level p
+  JOIN level q ON q.vec_id = p.vec_id AND q.j = (p.j + 21) % 64 JOIN level s ON s.vec_id = p.vec_id AND s.j = (p.j + 42) % 64)"""
+SPREAD = "spr AS (SELECT page_id // 2 AS page_id, y, x + 8 * (page_id % 2) AS x, v FROM px)"
+TEXT = """chars AS (SELECT doc_id, text, length(text) - length(text) % 64 AS n FROM documents),
+  pxt AS (SELECT doc_id AS page_id, i // 64 AS y, i % 64 AS x, CAST(least(255, ord(c)) AS BIGINT) AS v
+  FROM (SELECT doc_id, n, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM chars) WHERE i < n)"""
+FILES = """files AS (SELECT page_id, 'scans/h' || CAST(page_id % 7 AS VARCHAR) AS folder, 'Page' || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 3 = 0 THEN 'b' ELSE '' END AS base_name,
+  CASE page_id % 5 WHEN 0 THEN 'tif' WHEN 1 THEN 'bmp' WHEN 2 THEN 'jpg' WHEN 3 THEN 'txt' ELSE 'png' END AS ext FROM pages)"""
+
+
+def register(name: str, sql: str | None, *ctes: str):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = f"WITH {', '.join(ctes)} {sql}" if ctes else sql
+        return f
+
+    return add
+
+
+def longs(df: DataFrame, *columns: str, doubles: tuple[str, ...] = ()) -> DataFrame:
+    """Whole numbers as bigint; doubles rounded to six places."""
+    return df.select(*[F.col(c).cast("bigint").alias(c) for c in columns], *[F.round(F.col(c).cast("double"), 6).alias(c) for c in doubles])
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog of scans, a file for each web page."""
+    p = rasters.table(spark, sf_dir, "pages").select("page_id")
+    ext = F.element_at(F.array(*map(F.lit, ("tif", "bmp", "jpg", "txt", "png"))), (F.col("page_id") % 5 + 1).cast("int"))
+    name = F.concat(F.lit("Page"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, "b").otherwise(""))
+    return p.select("page_id", F.concat(F.lit("scans/h"), (F.col("page_id") % 7).cast("string")).alias("folder"), name.alias("base_name"), ext.alias("ext"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from folio import rasters
+    """Borders by contrast, then a threshold, then the ink of each page and where it lies."""
+    px = rasters.gray_pages(spark, sf_dir)
+    clean = points.threshold(profiles.whiten_borders(px, profiles.contrast_borders(px, 8, 8), 8, 8), 128).withColumn("dark", F.col("v") == 0)
+    at = lambda f, c: f(F.when(F.col("dark"), F.col(c)))
+    out = clean.groupBy("page_id").agg(F.count_if("dark").alias("ink_px"), at(F.min, "y").alias("top"), at(F.max, "y").alias("bottom"), at(F.min, "x").alias("left_x"), at(F.max, "x").alias("right_x"))
+    return longs(out, "page_id", "ink_px", "top", "bottom", "left_x", "right_x")
+
+
+BORDERS = """med AS (SELECT page_id, floor((list_sort(list(v))[len(list(v)) // 2 + 1] + list_sort(list(v))[(len(list(v)) - 1) // 2 + 1]) / 2) AS med FROM px WHERE x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 GROUP BY page_id),
+  off_ AS (SELECT px.*, CAST(abs(v - med) > 30 AS INT) AS bad FROM px JOIN med USING (page_id)),
+  rows_ AS (SELECT page_id, y AS i, sum(bad) AS bad, count(*) AS n FROM off_ GROUP BY page_id, y), cols_ AS (SELECT page_id, x AS i, sum(bad) AS bad, count(*) AS n FROM off_ GROUP BY page_id, x),
+  depths AS (SELECT r.page_id, top, bottom, left_d, right_d FROM
+   (SELECT page_id, least(4, coalesce(min(i) FILTER (bad <= n * 0.4), 8)) AS top, least(4, coalesce(7 - max(i) FILTER (bad <= n * 0.4), 8)) AS bottom FROM rows_ GROUP BY page_id) r JOIN
+   (SELECT page_id, least(4, coalesce(min(i) FILTER (bad <= n * 0.4), 8)) AS left_d, least(4, coalesce(7 - max(i) FILTER (bad <= n * 0.4), 8)) AS right_d FROM cols_ GROUP BY page_id) c USING (page_id))"""
+register(
+    "o054_clean_and_sum",
+    """SELECT page_id, CAST(count(*) FILTER (d) AS BIGINT) AS ink_px, CAST(min(y) FILTER (d) AS BIGINT) AS top, CAST(max(y) FILTER (d) AS BIGINT) AS bottom, CAST(min(x) FILTER (d) AS BIGINT) AS left_x, CAST(max(x) FILTER (d) AS BIGINT) AS right_x
+    FROM (SELECT page_id, y, x, (y >= top AND y < 8 - bottom AND x >= left_d AND x < 8 - right_d AND v <= 128) AS d FROM px JOIN depths USING (page_id)) GROUP BY page_id""",
+    PX,
+    BORDERS,
+)(flagship)
+
+
+def over_gray(name: str, op: Callable[[DataFrame], DataFrame], sql: str, *more: str, columns: tuple[str, ...] = ("page_id", "y", "x", "v"), doubles: tuple[str, ...] = ()) -> None:
+    """Registers an operator over the 8x8 gray pages."""
+    register(name, sql, PX, *more)(lambda spark, sf_dir: longs(op(rasters.gray_pages(spark, sf_dir)), *columns, doubles=doubles))
+
+
+def over_spreads(name: str, op: Callable[[DataFrame], DataFrame], sql: str, *more: str, columns: tuple[str, ...], doubles: tuple[str, ...] = ()) -> None:
+    register(name, sql, PX, SPREAD, *more)(lambda spark, sf_dir: longs(op(rasters.spreads(spark, sf_dir)), *columns, doubles=doubles))
+
+
+# ---- pixels and places
+@register("o018_gray", "SELECT page_id, y, x, CAST(round_even(CAST(299 * r + 587 * g + 114 * b AS DECIMAL(18,3)) / 1000, 0) AS BIGINT) AS v FROM pxc", PXC)
+def o018_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = rasters.colour_pages(spark, sf_dir)
+    return longs(px.withColumn("v", points.gray(F.col("b"), F.col("g"), F.col("r"))), "page_id", "y", "x", "v")
+
+
+@register("o033_scale_channels", """SELECT page_id, y, x, CAST(least(255, greatest(0, round_even(b * 0.75, 0))) AS BIGINT) AS b, CAST(least(255, round_even(g * 1.0, 0)) AS BIGINT) AS g, CAST(least(255, round_even(r * 1.5, 0)) AS BIGINT) AS r FROM pxc""", PXC)
+def o033_scale_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(points.scale_channels(rasters.colour_pages(spark, sf_dir), red=50, blue=-25), "page_id", "y", "x", "b", "g", "r")
+
+
+@register("o013_cmyk", """SELECT page_id, y, x, CAST(floor((1 - least(1.0, CAST(b AS DOUBLE) / 255.0 * (1 - CAST(b // 2 AS DOUBLE) / 255.0) + CAST(b // 2 AS DOUBLE) / 255.0)) * 255 + 0.5) AS BIGINT) AS r,
+  CAST(floor((1 - least(1.0, CAST(g AS DOUBLE) / 255.0 * (1 - CAST(b // 2 AS DOUBLE) / 255.0) + CAST(b // 2 AS DOUBLE) / 255.0)) * 255 + 0.5) AS BIGINT) AS g,
+  CAST(floor((1 - least(1.0, CAST(r AS DOUBLE) / 255.0 * (1 - CAST(b // 2 AS DOUBLE) / 255.0) + CAST(b // 2 AS DOUBLE) / 255.0)) * 255 + 0.5) AS BIGINT) AS b FROM pxc""", PXC)
+def o013_cmyk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = rasters.colour_pages(spark, sf_dir).select("page_id", "y", "x", F.col("b").alias("c"), F.col("g").alias("m"), F.col("r").alias("y_"), F.floor(F.col("b") / 2).alias("k"))
+    return longs(points.cmyk_to_rgb(px), "page_id", "y", "x", "r", "g", "b")
+
+
+over_gray("o019_threshold", lambda p: points.threshold(p, 128), "SELECT page_id, y, x, CAST(CASE WHEN v > 128 THEN 255 ELSE 0 END AS BIGINT) AS v FROM px")
+over_gray("o087_invert", points.invert, "SELECT page_id, y, x, 255 - v AS v FROM px")
+over_gray("o034_brightness_contrast", lambda p: points.brightness_contrast(p, 10, 50), "SELECT page_id, y, x, CAST(least(255, greatest(0, round_even(v * 1.5 + 10.0, 0))) AS BIGINT) AS v FROM px")
+over_gray("o062_crop", lambda p: points.crop(p, 2, 1, 4, 5), "SELECT page_id, y - 1 AS y, x - 2 AS x, v FROM px WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 5")
+over_gray("o056_manual_borders", lambda p: points.fill_outside(p, 1, 2, 0, 1, 8, 8), "SELECT page_id, y, x, CASE WHEN x >= 1 AND x <= 7 AND y >= 2 AND y <= 6 THEN v ELSE 255 END AS v FROM px")
+over_gray("o008_orient", lambda p: points.orient(p, 6, 8, 8), "SELECT page_id, x AS y, 7 - y AS x, v FROM px")
+over_gray("o128_resize_nearest", lambda p: points.resize_nearest(p, 8, 8, 5, 11), "SELECT p.page_id, b.i AS y, a.i AS x, v FROM px p, range(5) a(i), range(11) b(i) WHERE p.x = ((2 * a.i + 1) * 8) // 10 AND p.y = ((2 * b.i + 1) * 8) // 22")
+over_gray("o098_punch_bands", lambda p: points.edge_bands(p, 8, 8, 2, 1, 1, 0).withColumn("searched", F.col("searched").cast("int")), "SELECT page_id, y, x, CAST(x < 2 OR x >= 7 OR y < 1 OR y >= 8 AS BIGINT) AS searched FROM px", columns=("page_id", "y", "x", "searched"))
+over_gray("o130_pack_bits", points.pack_bits, "SELECT page_id, y, x // 8 AS byte, CAST(sum((v // 128) * (1 << CAST(7 - x % 8 AS INT))) AS BIGINT) AS packed FROM px GROUP BY ALL", columns=("page_id", "y", "byte", "packed"))
+over_spreads("o124_split_manual", lambda p: points.split_at(p, 16, 50.0, 1), "SELECT page_id, 1 AS side, y, x, v FROM spr WHERE x < 9 UNION ALL SELECT page_id, 2, y, x - 7, v FROM spr WHERE x >= 7", columns=("page_id", "side", "y", "x", "v"))
+# ---- neighbourhoods
+BOX = """b AS (SELECT p.page_id, p.y, p.x, any_value(p.v) AS v, sum(q.v) AS s, sum(q.v * q.v) AS s2, count(*) AS n FROM px p JOIN px q ON p.page_id = q.page_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY p.page_id, p.y, p.x)"""
+over_gray("o064_box", lambda p: areas.box_sums(p, 1), "SELECT page_id, y, x, CAST(s AS BIGINT) AS s, CAST(s2 AS BIGINT) AS s2, n FROM b", BOX, columns=("page_id", "y", "x", "s", "s2", "n"))
+over_gray("o020_adaptive_mean", lambda p: areas.adaptive_mean(p, 3, 14), "SELECT page_id, y, x, CAST(CASE WHEN v > CAST(s AS DOUBLE) / n - 14 THEN 255 ELSE 0 END AS BIGINT) AS v FROM b", BOX)
+over_gray("o021_sauvola", lambda p: areas.sauvola(p, 3, 0.3, 180.0), """SELECT page_id, y, x, CAST(CASE WHEN v > least(255.0, m * (1 + 0.3 * (sqrt(greatest(0.0, m2 - m * m)) / 180.0 - 1))) THEN 255 ELSE 0 END AS BIGINT) AS v
+  FROM (SELECT *, CAST(s AS DOUBLE) / n AS m, CAST(s2 AS DOUBLE) / n AS m2 FROM b)""", BOX)
+AROUND = "SELECT p.page_id, p.y, p.x, {}(q.v) AS v FROM {} p JOIN {} q ON p.page_id = q.page_id AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 GROUP BY p.page_id, p.y, p.x"
+over_gray("o066_dilate", lambda p: areas.morph(p, True), AROUND.format("max", "px", "px"))
+over_gray("o066_erode", lambda p: areas.morph(p, False), AROUND.format("min", "px", "px"))
+over_gray("o067_open", areas.opened, AROUND.format("max", "e", "e"), f"e AS ({AROUND.format('min', 'px', 'px')})")
+over_gray("o067_close", areas.closed, AROUND.format("min", "e", "e"), f"e AS ({AROUND.format('max', 'px', 'px')})")
+STENCIL = """c AS (SELECT p.page_id, p.y, p.x, dy, dx, q.v FROM px p, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx), px q
+  WHERE q.page_id = p.page_id AND q.y = greatest(0, least(7, p.y + dy)) AND q.x = greatest(0, least(7, p.x + dx)))"""
+over_gray("o064_sobel", areas.gradient, "SELECT page_id, y, x, CAST(abs(sum(dx * (2 - abs(dy)) * v)) + abs(sum(dy * (2 - abs(dx)) * v)) AS BIGINT) AS g FROM c GROUP BY page_id, y, x", STENCIL, columns=("page_id", "y", "x", "g"))
+over_gray("o065_blur", areas.blur3, "SELECT page_id, y, x, CAST(least(255, round_even(sum((2 - abs(dy)) * (2 - abs(dx)) * v) / 16.0, 0)) AS BIGINT) AS v FROM c GROUP BY page_id, y, x", STENCIL)
+# ---- histograms
+over_gray("o073_histogram", areas.histogram, "SELECT page_id, v, n, CAST(sum(n) OVER (PARTITION BY page_id ORDER BY v) AS BIGINT) AS cum FROM (SELECT page_id, v, count(*) AS n FROM px GROUP BY ALL)", columns=("page_id", "v", "n", "cum"))
+OTSU = """h AS (SELECT page_id, v, count(*) AS c FROM px GROUP BY ALL), hh AS (SELECT page_id, v, CAST(sum(c) OVER r AS BIGINT) AS w, CAST(sum(c * v) OVER r AS BIGINT) AS m, CAST(sum(c) OVER p AS BIGINT) AS n, CAST(sum(c * v) OVER p AS BIGINT) AS s FROM h
+  WINDOW r AS (PARTITION BY page_id ORDER BY v), p AS (PARTITION BY page_id)),
+  o AS (SELECT page_id, v AS t FROM (SELECT *, CASE WHEN w < n THEN CAST(s * w - m * n AS DOUBLE) * CAST(s * w - m * n AS DOUBLE) / CAST(w * (n - w) AS DOUBLE) ELSE 0.0 END AS apart FROM hh) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY apart DESC, v) = 1)"""
+over_gray("o069_otsu", areas.otsu, "SELECT page_id, t FROM o", OTSU, columns=("page_id", "t"))
+over_gray("o131_is_binary", lambda p: areas.binary_pages(p).withColumn("is_binary", F.col("is_binary").cast("int")), "SELECT page_id, CAST(b AS BIGINT) AS is_binary, CASE WHEN NOT b THEN t END AS t FROM o JOIN (SELECT page_id, bool_and(v IN (0, 255)) AS b FROM px GROUP BY page_id) USING (page_id)", OTSU, columns=("page_id", "is_binary", "t"))
+POINTS = """cdf AS (SELECT page_id, v, sum(n) OVER (PARTITION BY page_id ORDER BY v) AS cum, sum(n) OVER (PARTITION BY page_id) AS total FROM (SELECT page_id, v, count(*) AS n FROM px GROUP BY ALL)),
+  q AS (SELECT page_id, min(v) FILTER (cum >= total * 0.05) AS a, min(v) FILTER (cum >= total * 0.95) AS z FROM cdf GROUP BY page_id), bw AS (SELECT page_id, CASE WHEN z > a THEN a ELSE 0 END AS lo, CASE WHEN z > a THEN z ELSE 255 END AS hi FROM q)"""
+over_gray("o031_points", lambda p: areas.black_white_points(p, 5.0, 95.0), "SELECT page_id, lo, hi FROM bw", POINTS, columns=("page_id", "lo", "hi"))
+over_gray("o031_levels", lambda p: areas.levels(p, 5.0, 95.0, 1.0), "SELECT page_id, y, x, CAST(round_even(least(1.0, greatest(0.0, CAST(v - lo AS DOUBLE) / (hi - lo))) * 255, 0) AS BIGINT) AS v FROM px JOIN bw USING (page_id)", POINTS)
+register("o074_medians", "SELECT page_id, CAST(s[33] AS BIGINT) AS upper_median, CAST((s[33] + s[32]) / 2.0 AS DOUBLE) AS mean_median, CAST((s[33] + s[32]) // 2 AS BIGINT) AS cut_median FROM (SELECT page_id, list_sort(list(v)) AS s FROM px GROUP BY page_id)", PX)(
+    lambda spark, d: rasters.gray_pages(spark, d).groupBy("page_id").agg(areas.median_of("v").cast("bigint").alias("upper_median"), areas.median_of("v", "mean").cast("double").alias("mean_median"), areas.median_of("v", "truncated").cast("bigint").alias("cut_median"))
+)
+# ---- profiles
+ROWS = "pr AS (SELECT page_id, y AS i, sum(v) AS s, count(*) AS n, sum(CAST(v <= 128 AS INT)) AS ink FROM px GROUP BY ALL)"
+COLS = "pc AS (SELECT page_id, x AS i, sum(v) AS s, count(*) AS n, sum(CAST(v <= 128 AS INT)) AS ink FROM {} GROUP BY ALL)"
+over_gray("o061_row_profile", lambda p: profiles.profile(p, "y"), "SELECT page_id, i, CAST(s AS BIGINT) AS s, n, CAST(ink AS BIGINT) AS ink FROM pr", ROWS, columns=("page_id", "i", "s", "n", "ink"))
+over_gray("o116_moving_average", lambda p: profiles.moving(profiles.profile(p, "x"), 2), "SELECT page_id, i, CAST(sum(ink) OVER w AS BIGINT) AS near, count(*) OVER w AS near_n FROM pc WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)", COLS.format("px"), columns=("page_id", "i", "near", "near_n"))
+STRIPED = """mm AS (SELECT page_id, i, CAST(s AS DOUBLE) / n AS mean FROM pr), oo AS (SELECT page_id, i, abs(mean - avg(mean) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS off_ FROM mm),
+  st AS (SELECT page_id, i, round(off_, 9) > round(1.5 * avg(off_) OVER (PARTITION BY page_id), 9) AS striped FROM oo)"""
+over_gray("o093_stripes", lambda p: profiles.stripes(p, "y", 1.5).withColumn("striped", F.col("striped").cast("int")), "SELECT page_id, i, CAST(striped AS BIGINT) AS striped FROM st", ROWS, STRIPED, columns=("page_id", "i", "striped"))
+over_gray("o093_remove_stripes", lambda p: profiles.remove_stripes(p, "y", 1.5), """SELECT f.page_id, f.i AS y, px.x, px.v FROM (SELECT a.page_id, a.i, coalesce(min(b.i) FILTER (NOT b.striped AND abs(b.i - a.i) = d), any_value(a.i)) AS src
+  FROM st a JOIN st b ON a.page_id = b.page_id JOIN (SELECT a.page_id, a.i, min(abs(b.i - a.i)) FILTER (NOT b.striped) AS d FROM st a JOIN st b ON a.page_id = b.page_id GROUP BY ALL) m ON m.page_id = a.page_id AND m.i = a.i GROUP BY a.page_id, a.i) f
+  JOIN px ON px.page_id = f.page_id AND px.y = f.src""", ROWS, STRIPED)
+over_gray("o054_contrast_borders", lambda p: profiles.contrast_borders(p, 8, 8), "SELECT page_id, CAST(top AS BIGINT) AS top, CAST(bottom AS BIGINT) AS bottom, CAST(left_d AS BIGINT) AS \"left\", CAST(right_d AS BIGINT) AS \"right\" FROM depths", BORDERS, columns=("page_id", "top", "bottom", "left", "right"))
+over_spreads("o118_split_column", lambda p: profiles.split_column(p, 16), """SELECT page_id, i AS split_x, near, near_n FROM (SELECT page_id, i, CAST(sum(ink) OVER w AS BIGINT) AS near, count(*) OVER w AS near_n FROM pc WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
+  WHERE i BETWEEN 6 AND 9 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY CAST(near AS DOUBLE) / near_n, abs(2 * i - 15), i) = 1""", COLS.format("spr"), columns=("page_id", "split_x", "near", "near_n"))
+over_spreads("o117_ink_band", profiles.ink_band, """SELECT page_id, min(i) FILTER (cum >= total * 0.02) AS band_start, min(i) FILTER (cum >= total * 0.98) AS band_end FROM (SELECT page_id, i, sum(ink) OVER (PARTITION BY page_id ORDER BY i) AS cum, sum(ink) OVER (PARTITION BY page_id) AS total FROM pc) WHERE total > 0 GROUP BY page_id""", COLS.format("spr"), columns=("page_id", "band_start", "band_end"))
+over_gray("o092_dense_rect", profiles.dense_rect, """SELECT page_id, min(i) FILTER (k = 'r' AND f) AS top, max(i) FILTER (k = 'r' AND f) AS bottom, min(i) FILTER (k = 'c' AND f) AS "left", max(i) FILTER (k = 'c' AND f) AS "right" FROM
+  (SELECT page_id, 'r' AS k, i, ink > 0 AND ink >= 0.65 * max(ink) OVER (PARTITION BY page_id) AS f FROM pr UNION ALL SELECT page_id, 'c', i, ink > 0 AND ink >= 0.65 * max(ink) OVER (PARTITION BY page_id) FROM pc) GROUP BY page_id""", ROWS, COLS.format("px"), columns=("page_id", "top", "bottom", "left", "right"))
+over_gray("o078_text_rows", lambda p: profiles.text_rows(p, 8).withColumn("text_row", F.col("text_row").cast("int")), "SELECT page_id, i, CAST(ink > 1 AS BIGINT) AS text_row FROM pr", ROWS, columns=("page_id", "i", "text_row"))
+# ---- skew
+MOMENTS = """mo AS (SELECT page_id, CAST(count(*) AS HUGEINT) AS m00, sum(x) AS m10, sum(y) AS m01, sum(x * y) AS m11, sum(x * x) AS m20, sum(y * y) AS m02 FROM px WHERE v <= 128 GROUP BY page_id HAVING count(*) >= 5),
+  an AS (SELECT page_id, m00, degrees(0.5 * atan2(CAST(2 * (m00 * m11 - m10 * m01) AS DOUBLE), CAST((m00 * m20 - m10 * m10) - (m00 * m02 - m01 * m01) AS DOUBLE))) AS angle FROM mo)"""
+over_gray("o043_moments_angle", profiles.moments_angle, "SELECT page_id, CAST(m00 AS BIGINT) AS m00, round(angle, 6) AS angle FROM an", MOMENTS, columns=("page_id", "m00"), doubles=("angle",))
+over_gray("o045_normal_angle", lambda p: profiles.moments_angle(p).withColumn("angle", profiles.normal_angle(F.col("angle"))), "SELECT page_id, round(CASE WHEN abs(a) < 0.005 THEN 0.0 ELSE a END, 6) AS angle FROM (SELECT page_id, CASE WHEN angle > 45 THEN angle - 90 WHEN angle <= -45 THEN angle + 90 ELSE angle END AS a FROM an)", MOMENTS, columns=("page_id",), doubles=("angle",))
+TURNS = [-10.0, -5.0, 0.0, 5.0, 10.0]
+over_gray("o041_projection_angle", lambda p: profiles.projection_angle(p, TURNS), """SELECT page_id, energy, round(angle, 6) AS angle FROM (SELECT page_id, angle, CAST(sum(n * n) AS BIGINT) AS energy FROM (SELECT page_id, angle, floor(round(y * cos(radians(angle)) - x * sin(radians(angle)) + 0.5, 9)) AS r, count(*) AS n
+  FROM px, (VALUES (CAST(-10.0 AS DOUBLE)), (-5.0), (0.0), (5.0), (10.0)) a(angle) WHERE v <= 128 GROUP BY ALL) GROUP BY page_id, angle) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY energy DESC, abs(angle), angle) = 1""", columns=("page_id", "energy"), doubles=("angle",))
+
+
+@register("o047_consensus", """SELECT page_id, support, round(angle, 6) AS angle FROM (SELECT page_id, island, count(*) AS support, sum(weight) AS weight, sum(angle * weight) / sum(weight) AS angle, max(angle) - min(angle) AS wide FROM (SELECT *, sum(jump) OVER (PARTITION BY page_id ORDER BY angle, weight ROWS UNBOUNDED PRECEDING) AS island FROM
+  (SELECT *, coalesce(CAST(angle - lag(angle) OVER (PARTITION BY page_id ORDER BY angle, weight) > 1.5 AS INT), 0) AS jump FROM (SELECT user_id AS page_id, round(value / 10, 3) AS angle, CAST(event_id % 7 + 1 AS DOUBLE) AS weight FROM events WHERE value IS NOT NULL))) GROUP BY page_id, island)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY support DESC, weight DESC, wide, island) = 1""")
+def o047_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rasters.table(spark, sf_dir, "events").where("value is not null").select(F.col("user_id").alias("page_id"), F.round(F.col("value") / 10, 3).alias("angle"), (F.col("event_id") % 7 + 1).cast("double").alias("weight"))
+    return longs(profiles.consensus(found), "page_id", "support", doubles=("angle",))
+
+
+# ---- batches
+@register("o001_catalog", "SELECT page_id, folder, base_name, ext FROM files WHERE ext <> 'txt'", FILES)
+def o001_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).where(F.col("ext").isin(*batch.IMAGES))
+
+
+@register("o002_count", "SELECT folder, count(*) AS n FROM files WHERE ext <> 'txt' GROUP BY folder", FILES)
+def o002_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return o001_catalog(spark, sf_dir).groupBy("folder").agg(F.count("*").alias("n"))
+
+
+register("o005_folders", "SELECT DISTINCT folder FROM files WHERE ext IN ('jpg', 'png', 'tif')", FILES)(lambda spark, d: batch.folders_with_pages(files(spark, d)))
+
+
+@register("o063_natural_order", "SELECT page_id, row_number() OVER (PARTITION BY folder ORDER BY page_id) AS seq FROM files", FILES)
+def o063_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.numbered(files(spark, sf_dir)).select("page_id", F.col("n").cast("bigint").alias("seq"))
+
+
+@register("o127_renumber", "SELECT page_id, format('{:03d}', row_number() OVER (PARTITION BY folder ORDER BY page_id)) AS new_name FROM files", FILES)
+def o127_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.numbered(files(spark, sf_dir)).select("page_id", "new_name")
+
+
+@register("o151_not_done", "SELECT page_id FROM files WHERE page_id NOT IN (SELECT doc_id FROM labels)", FILES)
+def o151_not_done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = rasters.table(spark, sf_dir, "labels").select(F.concat(F.lit("PAGE"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, "B").otherwise("")).alias("base_name"))
+    return batch.not_done(files(spark, sf_dir), done).select("page_id")
+
+
+register("o154_side", "SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 'Left' ELSE 'Right' END AS side FROM files", FILES)(lambda spark, d: files(spark, d).select("page_id", batch.side(F.col("base_name")).alias("side")))
+
+
+def finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of done work, a row for each event."""
+    e = rasters.table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("f"), (F.col("user_id") % 20).cast("string")).alias("folder"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 11 == 0, "bad page").alias("error"), (F.col("event_id") % 97).alias("seconds"))
+
 
-    return rasters.gray_pages(spark, sf_dir).groupBy("page_id").count()
+DONE = "done AS (SELECT 'f' || CAST(user_id % 20 AS VARCHAR) AS folder, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'bad page' END AS error, event_id % 97 AS seconds FROM events)"
+register("o160_progress", "SELECT folder, seq, CAST(round_even(100.0 * count(*) OVER (PARTITION BY folder ORDER BY seq) / count(*) OVER (PARTITION BY folder), 0) AS BIGINT) AS percent FROM done", DONE)(
+    lambda spark, d: batch.progress(finished(spark, d)).select("folder", "seq", F.col("percent").cast("bigint").alias("percent"))
+)
+register("o159_log", "SELECT folder, total, errors, t // 3600 AS h, t % 3600 // 60 AS m, t % 60 AS s FROM (SELECT folder, count(*) AS total, count(error) AS errors, CAST(sum(seconds) AS BIGINT) AS t FROM done GROUP BY folder)", DONE)(
+    lambda spark, d: batch.log(finished(spark, d)).select("folder", *[F.col(c).cast("bigint").alias(c) for c in ("total", "errors", "h", "m", "s")])
+)
+# ---- shapes of pages
+register("o164_text_rows", "SELECT page_id, y, CAST(sum(v) AS BIGINT) AS s, max(v) AS brightest FROM pxt GROUP BY page_id, y", TEXT)(
+    lambda spark, d: longs(rasters.text_pages(spark, d).groupBy("page_id", "y").agg(F.sum("v").alias("s"), F.max("v").alias("brightest")), "page_id", "y", "s", "brightest")
+)
+register("o164_packed_and_back", "SELECT page_id, y, x, v FROM px", PX)(lambda spark, d: longs(rasters.unpack(rasters.packed_gray(spark, d)), "page_id", "y", "x", "v"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
