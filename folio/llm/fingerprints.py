@@ -35,9 +35,8 @@ LEVELS = 24
 MOST_BUCKETS = 512
 BUCKET_ROWS = 2000
 
-ODD = np.uint64(0x9E3779B97F4A7C15)
-ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
-SALTS = np.arange(LEVELS, dtype=np.uint64) * ODD
+ODD, ODD2, ODD3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+SALTS = np.arange(LEVELS, dtype=np.uint32) * ODD
 BRUIJN = np.uint32(0x077CB531)
 
 
@@ -60,8 +59,14 @@ LOWEST, TOSS64, TOSS12 = lowest_bits(), toss_table(64).ravel(), toss_table(12).r
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * ODD2
-    return x ^ (x >> np.uint64(32))
+    x = (x ^ (x >> np.uint32(16))) * ODD2
+    x ^= x >> np.uint32(13)
+    x *= ODD3
+    x ^= x >> np.uint32(16)
+    return x
+
+
+POWERS = np.cumprod(np.full(4096, ODD, np.uint32), dtype=np.uint32)
 
 
 def parse(names: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,12 +79,12 @@ def parse(names: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new[1:] |= names[1:] != names[:-1]
     at = np.flatnonzero(new)
     if len(at) < n:
-        runs = np.diff(at, append=n).astype(np.uint64)
+        runs = np.diff(at, append=n).astype(np.uint32)
         names, first = names[at], first[at]
         many = runs > 1
         names[many] = mix(names[many] + runs[many] * ODD)
         n = len(names)
-    low = (names * ODD >> np.uint64(32)).astype(np.uint32)
+    low = names
     # coin tossing: 32 bits -> 64 labels -> 12 -> 8
     before = np.empty_like(low)
     before[1:], before[0] = low[:-1], 0
@@ -102,10 +107,11 @@ def parse(names: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         head[alone[~first[alone]]] = False
     heads = np.flatnonzero(head)
     sizes = np.diff(heads, append=n)
-    place = np.arange(n, dtype=np.int64) - np.repeat(heads, sizes)
-    powers = np.cumprod(np.full(int(sizes.max()), ODD, np.uint64))
-    summed = np.add.reduceat(mix(names + ODD) * powers[place], heads)
-    return mix(summed + sizes.astype(np.uint64)), np.flatnonzero(first[heads])
+    place = np.arange(n, dtype=np.int32)
+    place -= np.repeat(place[heads], sizes)
+    hashed = mix(names + ODD)
+    hashed *= POWERS[place]  # phrases are a few names long
+    return mix(np.add.reduceat(hashed, heads, dtype=np.uint32) + sizes.astype(np.uint32)), np.flatnonzero(first[heads])
 
 
 def name_sets(texts: list[str]) -> list[np.ndarray]:
@@ -115,7 +121,7 @@ def name_sets(texts: list[str]) -> list[np.ndarray]:
     out = [np.empty(0, np.uint32)] * len(texts)
     if not len(full):
         return out
-    names = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    names = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.cumsum(sizes[full]) - sizes[full]
     whose, owner, values, rest = np.arange(len(full)), [], [], full
     for level in range(1, LEVELS):
@@ -124,13 +130,14 @@ def name_sets(texts: list[str]) -> list[np.ndarray]:
         ends = lengths == 1
         keep = np.ones(len(names), bool) if level > 1 else np.repeat(ends, lengths)  # a text of one phrase has that
         owner.append(np.repeat(whose, lengths)[keep])
-        values.append((mix(names[keep] + SALTS[level]) >> np.uint64(32)).astype(np.uint32))
+        values.append(mix(names[keep] + SALTS[level]))
         if ends.all():
             break
         on = ~ends
         names, whose, lengths = names[np.repeat(on, lengths)], whose[on], lengths[on]
         starts = np.cumsum(lengths) - lengths
-    both = np.unique(np.concatenate(owner).astype(np.uint64) << np.uint64(32) | np.concatenate(values))
+    both = np.sort(np.concatenate(owner).astype(np.uint64) << np.uint64(32) | np.concatenate(values))
+    both = both[np.append(True, both[1:] != both[:-1])]
     owners = (both >> np.uint64(32)).astype(np.int64)
     edges = np.searchsorted(owners, np.arange(len(full) + 1))
     low = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -195,7 +202,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for piece in slices(batch, 2048, 3_000_000):
+            for piece in slices(batch, 48, 200_000):  # arrays of this size stay in the cache and cost no page faults
                 rows = held + list(zip(*(piece[c].to_pylist() for c in ("bucket", "copy", "doc_id", "text"))))
                 held = rows[-1:]
                 pairs = [(i, i + 1) for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
