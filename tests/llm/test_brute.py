@@ -213,6 +213,13 @@ def test_language(spark):
     assert out[1000].identified == "en" and not out[1001].kept and not out[1002].kept
 
 
+def test_language_with_many_hosts(docs, monkeypatch):
+    few = sorted(language.identify_documents(docs, ["doc_id"]).collect(), key=str)
+    monkeypatch.setattr(language, "MOST_BROADCAST", 0)
+    many = sorted(language.identify_documents(docs, ["doc_id"]).collect(), key=str)
+    assert [(r.doc_id, r.identified, r.kept) for r in few] == [(r.doc_id, r.identified, r.kept) for r in many]
+
+
 def brute_components(data, n, percent):
     sets = {}
     for r in data:
