@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio import rasters
-from folio.operators import areas, points, profiles
+from folio.kernels import components
+from folio.operators import areas, points, profiles, regions
 from folio.sources import batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,6 +230,37 @@ register("o160_progress", "SELECT folder, seq, CAST(round_even(100.0 * count(*)
 register("o159_log", "SELECT folder, total, errors, t // 3600 AS h, t % 3600 // 60 AS m, t % 60 AS s FROM (SELECT folder, count(*) AS total, count(error) AS errors, CAST(sum(seconds) AS BIGINT) AS t FROM done GROUP BY folder)", DONE)(
     lambda spark, d: batch.log(finished(spark, d)).select("folder", *[F.col(c).cast("bigint").alias(c) for c in ("total", "errors", "h", "m", "s")])
 )
+# ---- components
+LABELS = """m AS (SELECT page_id, y, x, y * 8 + x AS id FROM px WHERE v < 110),
+  reach(page_id, id, seen) AS (SELECT page_id, id, id FROM m UNION SELECT r.page_id, r.id, b.id FROM reach r JOIN m a ON a.page_id = r.page_id AND a.id = r.seen JOIN m b ON b.page_id = a.page_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+  cc AS (SELECT page_id, id, min(seen) AS label FROM reach GROUP BY page_id, id)"""
+
+
+@register("o068_components", """SELECT page_id, label, count(*) AS area, CAST(min(x) AS BIGINT) AS left_x, CAST(min(y) AS BIGINT) AS top, CAST(max(x) - min(x) + 1 AS BIGINT) AS width, CAST(max(y) - min(y) + 1 AS BIGINT) AS height FROM cc JOIN m USING (page_id, id) GROUP BY page_id, label""", "RECURSIVE " + PX, LABELS)
+def o068_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.components(rasters.packed_gray(spark, sf_dir), 0, 110)
+
+
+@register("o103_largest_component", """SELECT page_id, label, area, width, height FROM (SELECT page_id, label, count(*) AS area, CAST(max(x) - min(x) + 1 AS BIGINT) AS width, CAST(max(y) - min(y) + 1 AS BIGINT) AS height FROM cc JOIN m USING (page_id, id) GROUP BY page_id, label)
+  WHERE area >= 6.4 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY area DESC, label) = 1""", "RECURSIVE " + PX, LABELS)
+def o103_largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.largest(o068_components(spark, sf_dir).where("area >= 0.1 * 64")).select("page_id", "label", "area", "width", "height")
+
+
+BOXES = "bx AS (SELECT page_id, label, count(*) AS area, min(x) AS l, min(y) AS t, max(x) + 1 AS r, max(y) + 1 AS b FROM cc JOIN m USING (page_id, id) GROUP BY page_id, label)"
+
+
+@register("o079_near_big", """SELECT s.page_id, s.label FROM bx s WHERE s.area < 4 AND EXISTS (SELECT 1 FROM bx g WHERE g.page_id = s.page_id AND g.area >= 4 AND
+  pow(greatest(g.l - (s.l + s.r) / 2.0, 0, (s.l + s.r) / 2.0 - g.r), 2) + pow(greatest(g.t - (s.t + s.b) / 2.0, 0, (s.t + s.b) / 2.0 - g.b), 2) < 2.25)""", "RECURSIVE " + PX, LABELS, BOXES)
+def o079_near_big(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.near_big(o068_components(spark, sf_dir), 4, 1.5).select("page_id", "label")
+
+
+@register("o081_clustered", """SELECT DISTINCT s.page_id, s.label FROM bx s JOIN bx o ON o.page_id = s.page_id AND o.label <> s.label AND o.area < 4 AND abs((s.l + s.r) / 2.0 - (o.l + o.r) / 2.0) <= 2 AND abs((s.t + s.b) / 2.0 - (o.t + o.b) / 2.0) <= 1 WHERE s.area < 4""", "RECURSIVE " + PX, LABELS, BOXES)
+def o081_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.clustered(o068_components(spark, sf_dir).where("area < 4"), 2.0, 1.0).select("page_id", "label")
+
+
 # ---- shapes of pages
 register("o164_text_rows", "SELECT page_id, y, CAST(sum(v) AS BIGINT) AS s, max(v) AS brightest FROM pxt GROUP BY page_id, y", TEXT)(
     lambda spark, d: longs(rasters.text_pages(spark, d).groupBy("page_id", "y").agg(F.sum("v").alias("s"), F.max("v").alias("brightest")), "page_id", "y", "s", "brightest")
