@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio import rasters
-from folio.kernels import components
+from folio.kernels import components, masks
 from folio.operators import areas, points, profiles, regions
-from folio.sources import batch
+from folio.sources import batch, images
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -261,6 +261,124 @@ def o081_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.clustered(o068_components(spark, sf_dir).where("area < 4"), 2.0, 1.0).select("page_id", "label")
 
 
+# ---- specks, borders and boxes
+SPECKS = """sized AS (SELECT page_id, coalesce(list_sort(list(b - t) FILTER (b - t >= 3))[count(*) FILTER (b - t >= 3) // 2 + 1], 20) AS mh FROM bx GROUP BY page_id),
+  kn AS (SELECT bx.*, mh, r - l AS w, b - t AS h, l + (r - l) // 2 AS cx, t + (b - t) // 2 AS cy, area < greatest(1, round_even(0.5 * mh * mh, 0)) OR b - t <= greatest(1, round_even(0.35 * mh, 0)) AS small FROM bx JOIN sized USING (page_id)),
+  lines_ AS (SELECT page_id, y FROM px GROUP BY page_id, y HAVING count(*) FILTER (v <= 128) > 1),
+  judged AS (SELECT s.page_id, s.label, w, h,
+    EXISTS (SELECT 1 FROM kn g WHERE g.page_id = s.page_id AND NOT g.small AND pow(greatest(g.l - s.cx, 0, s.cx - g.r), 2) + pow(greatest(g.t - s.cy, 0, s.cy - g.b), 2) < pow(greatest(1.0, 0.8 * s.mh), 2)) AS near_big,
+    EXISTS (SELECT 1 FROM lines_ q WHERE q.page_id = s.page_id AND abs(q.y - s.cy) <= greatest(1, s.mh // 3)) AS on_line,
+    EXISTS (SELECT 1 FROM kn o WHERE o.page_id = s.page_id AND o.small AND o.label <> s.label AND abs(o.cx - s.cx) <= greatest(3, floor(s.mh * 0.6)) AND abs(o.cy - s.cy) <= greatest(1, s.mh // 3)) AS in_group
+    FROM kn s WHERE small),
+  gone AS (SELECT page_id, label, near_big, on_line, in_group, NOT (near_big OR (on_line AND (abs(w - h) <= greatest(1, 0.6 * h) OR in_group))) AS remove FROM judged)"""
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.specks(o068_components(spark, sf_dir), profiles.text_rows(rasters.gray_pages(spark, sf_dir), 8))
+
+
+register("o083_specks", "SELECT * FROM gone", "RECURSIVE " + PX, LABELS, BOXES, SPECKS)(judged)
+
+
+@register("o084_despeckle", "SELECT px.page_id, px.y, px.x, CASE WHEN EXISTS (SELECT 1 FROM cc JOIN gone USING (page_id, label) WHERE remove AND cc.page_id = px.page_id AND cc.id = px.y * 8 + px.x) THEN 255 ELSE v END AS v FROM px", "RECURSIVE " + PX, LABELS, BOXES, SPECKS)
+def o084_despeckle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = judged(spark, sf_dir).where("remove")
+    return longs(rasters.unpack(masks.paint(rasters.packed_gray(spark, sf_dir), gone, 255, 110)), "page_id", "y", "x", "v")
+
+
+@register(
+    "o053_edge_borders",
+    """SELECT px.page_id, px.y, px.x, CASE WHEN EXISTS (SELECT 1 FROM cc JOIN bx USING (page_id, label) WHERE cc.page_id = px.page_id AND cc.id = px.y * 8 + px.x AND (l = 0 OR t = 0 OR r = 8 OR b = 8)
+  AND (r - l >= 4.8 OR b - t >= 4.8 OR (l = 0 AND r = 8) OR (t = 0 AND b = 8))) THEN 255 ELSE v END AS v FROM px""",
+    "RECURSIVE " + PX,
+    LABELS,
+    BOXES,
+)
+def o053_edge_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    border = regions.edge_touching(o068_components(spark, sf_dir), 8, 8)
+    return longs(rasters.unpack(masks.paint(rasters.packed_gray(spark, sf_dir), border, 255, 110)), "page_id", "y", "x", "v")
+
+
+BIGGEST = "big AS (SELECT * FROM bx WHERE area >= 6.4 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY area DESC, label) = 1)"
+
+
+@register("o103_crop", "SELECT px.page_id, px.y - coalesce(t, 0) AS y, px.x - coalesce(l, 0) AS x, v FROM px LEFT JOIN big USING (page_id) WHERE l IS NULL OR (px.x >= l AND px.x < r AND px.y >= t AND px.y < b)", "RECURSIVE " + PX, LABELS, BOXES, BIGGEST)
+def o103_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = regions.largest(o068_components(spark, sf_dir).where("area >= 0.1 * 64")).select("page_id", F.col("left_x").alias("x"), F.col("top").alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))
+    return longs(rasters.unpack(masks.crop_to(rasters.packed_gray(spark, sf_dir), box)), "page_id", "y", "x", "v")
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return o068_components(spark, sf_dir).select("page_id", F.col("label").alias("box_id"), F.col("left_x").alias("x"), F.col("top").alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))
+
+
+register("o111_boundary", "SELECT page_id, greatest(0, min(l) - 1) AS x, greatest(0, min(t) - 1) AS y, least(8, max(r) + 1) - greatest(0, min(l) - 1) AS w, least(8, max(b) + 1) - greatest(0, min(t) - 1) AS h FROM bx WHERE area >= 3 GROUP BY page_id", "RECURSIVE " + PX, LABELS, BOXES)(
+    lambda spark, d: longs(regions.boundary(o068_components(spark, d).where("area >= 3").select("page_id", F.col("left_x").alias("x"), F.col("top").alias("y"), F.col("width").alias("w"), F.col("height").alias("h")), 8, 8, 1), "page_id", "x", "y", "w", "h")
+)
+register("o105_overlaps", """SELECT p.page_id, p.label AS box_id, q.label AS other_id, CAST(i AS BIGINT) AS inter, round(i / ((p.r - p.l) * (p.b - p.t) + (q.r - q.l) * (q.b - q.t) - i)::DOUBLE, 6) AS iou FROM bx p JOIN bx q ON p.page_id = q.page_id AND p.label < q.label,
+  LATERAL (SELECT greatest(0, least(p.r, q.r) - greatest(p.l, q.l)) * greatest(0, least(p.b, q.b) - greatest(p.t, q.t)) AS i) WHERE i > 0""", "RECURSIVE " + PX, LABELS, BOXES)(
+    lambda spark, d: longs(regions.overlaps(boxes(spark, d)), "page_id", "box_id", "other_id", "inter", doubles=("iou",))
+)
+register("o105_suppressed", None)(lambda spark, d: masks.suppressed(boxes(spark, d), 0.2))
+register("o089_invert_dark", None)(lambda spark, d: longs(rasters.unpack(masks.invert_dark(rasters.packed_gray(spark, d), "mask", below=110)), "page_id", "y", "x", "v"))
+register("o090_invert_rect", None)(lambda spark, d: longs(rasters.unpack(masks.invert_dark(rasters.packed_gray(spark, d), "rect", below=110)), "page_id", "y", "x", "v"))
+register("o091_invert_hybrid", None)(lambda spark, d: longs(rasters.unpack(masks.invert_dark(rasters.packed_gray(spark, d), "hybrid", below=110)), "page_id", "y", "x", "v"))
+register(
+    "o104_decode_boxes",
+    """SELECT page_id, CAST(floor(x - lx) AS BIGINT) AS x, CAST(floor(y - ty) AS BIGINT) AS y, CAST(floor(rx - (x - lx)) AS BIGINT) AS w, CAST(floor(by_ - (y - ty)) AS BIGINT) AS h FROM
+  (SELECT page_id, x * 4.0::DOUBLE AS x, y * 4.0::DOUBLE AS y, least(x * 4.0::DOUBLE, v / 16.0::DOUBLE) AS lx, least(y * 4.0::DOUBLE, v / 32.0::DOUBLE) AS ty, least(32.0::DOUBLE, x * 4.0::DOUBLE + v / 16.0::DOUBLE) AS rx, least(32.0::DOUBLE, y * 4.0::DOUBLE + v / 32.0::DOUBLE) AS by_ FROM px WHERE v / 255.0::DOUBLE >= 0.5)
+  WHERE floor(rx - (x - lx)) > 1 AND floor(by_ - (y - ty)) > 1""",
+    PX,
+)(
+    lambda spark, d: longs(
+        regions.decoded_boxes(rasters.gray_pages(spark, d).select("page_id", F.col("y").alias("cy"), F.col("x").alias("cx"), (F.col("v") / 255.0).alias("score"), *[(F.col("v") / by).alias(c) for c, by in (("up", 32.0), ("down", 32.0), ("left", 16.0), ("right", 16.0))]), 4, 0.5, 32, 32), "page_id", "x", "y", "w", "h"
+    )
+)
+WALK = """walk(page_id, y, x, c) AS (SELECT page_id, y, x, 255 - v FROM spr WHERE y = 0 AND x BETWEEN 6 AND 9 UNION ALL
+  SELECT s.page_id, s.y, s.x, 255 - s.v + min(k.c) FROM walk k JOIN spr s ON s.page_id = k.page_id AND s.y = k.y + 1 AND abs(s.x - k.x) <= 1 AND s.x BETWEEN 6 AND 9 GROUP BY s.page_id, s.y, s.x, s.v)"""
+register("o120_seam_cost", "SELECT page_id, CAST(min(c) AS BIGINT) AS cost FROM walk WHERE y = 7 GROUP BY page_id", "RECURSIVE " + PX, SPREAD, WALK)(lambda spark, d: masks.seams(rasters.pack(rasters.spreads(spark, d))).select("page_id", "cost"))
+
+# ---- tiles, illumination, votes and palettes
+TILES = """tile AS (SELECT page_id, x // 4 AS tx, y // 4 AS ty, v, count(*) AS n FROM px GROUP BY ALL),
+  lut AS (SELECT page_id, tx, ty, u.v, round_even(255 * (sum(least(n, 2)) FILTER (tile.v <= u.v) * 256.0::DOUBLE + sum(greatest(n - 2, 0)) * (u.v + 1)) / 4096.0::DOUBLE, 0) AS nv FROM tile, range(256) u(v) GROUP BY page_id, tx, ty, u.v),
+  lut0 AS (SELECT tx, ty, page_id, v, coalesce(nv, (SELECT round_even(255 * sum(greatest(n - 2, 0)) * (lut.v + 1) / 4096.0::DOUBLE, 0) FROM tile WHERE tile.page_id = lut.page_id AND tile.tx = lut.tx AND tile.ty = lut.ty)) AS nv FROM lut),
+  four AS (SELECT px.*, greatest(0, least(1, floor((2 * x - 4) / 8.0) + i)) AS tx, greatest(0, least(1, floor((2 * y - 4) / 8.0) + j)) AS ty,
+    CASE WHEN i = 1 THEN 2 * x - 4 - floor((2 * x - 4) / 8.0) * 8 ELSE 8 - (2 * x - 4 - floor((2 * x - 4) / 8.0) * 8) END * CASE WHEN j = 1 THEN 2 * y - 4 - floor((2 * y - 4) / 8.0) * 8 ELSE 8 - (2 * y - 4 - floor((2 * y - 4) / 8.0) * 8) END AS w FROM px, range(2) a(i), range(2) b(j))"""
+register(
+    "o028_clahe",
+    """SELECT page_id, y, x, CAST(CASE WHEN bool_or(any_mid) THEN least(255, round_even(sum(w * nv) / 64.0::DOUBLE, 0)) ELSE any_value(v) END AS BIGINT) AS v FROM (SELECT f.*, l.nv, m.any_mid FROM four f JOIN lut0 l USING (page_id, tx, ty, v) JOIN (SELECT page_id, bool_or(v BETWEEN 1 AND 254) AS any_mid FROM px GROUP BY page_id) m USING (page_id)) GROUP BY page_id, y, x""",
+    PX,
+    TILES,
+)(lambda spark, d: longs(areas.local_equalised(rasters.gray_pages(spark, d), 8, 8, 2, 32.0), "page_id", "y", "x", "v"))
+LOGS = """lg AS (SELECT page_id, y, x, ln(greatest(1e-6, v / 255.0::DOUBLE)) AS l FROM px),
+  rows_ AS (SELECT a.page_id, a.y, a.x, any_value(a.l) AS l, sum(exp(-pow(a.x - b.x, 2) / 4.5::DOUBLE) * b.l) / sum(exp(-pow(a.x - b.x, 2) / 4.5::DOUBLE)) AS g FROM lg a JOIN lg b ON a.page_id = b.page_id AND a.y = b.y AND abs(a.x - b.x) <= 4 GROUP BY a.page_id, a.y, a.x)"""
+register(
+    "o029_retinex",
+    """SELECT page_id, y, x, round(e, 6) + 0.0 AS e FROM (SELECT a.page_id, a.y, a.x, 1.8::DOUBLE * (any_value(a.l) - sum(exp(-pow(a.y - b.y, 2) / 4.5::DOUBLE) * b.g) / sum(exp(-pow(a.y - b.y, 2) / 4.5::DOUBLE))) AS e FROM rows_ a JOIN rows_ b ON a.page_id = b.page_id AND a.x = b.x AND abs(a.y - b.y) <= 4 GROUP BY a.page_id, a.y, a.x)""",
+    PX,
+    LOGS,
+)(lambda spark, d: longs(areas.homomorphic(rasters.gray_pages(spark, d), 1.5), "page_id", "y", "x", doubles=("e",)).withColumn("e", F.col("e") + 0.0))
+LIMITS = """lim AS (SELECT page_id, quantile_disc(v, 0.05) AS lo, quantile_disc(v, 0.95) AS hi FROM px GROUP BY page_id)"""
+register("o030_normalise", """SELECT page_id, y, x, CAST(CASE WHEN hi - lo < 1e-9 THEN 0 ELSE least(255, greatest(0, round_even((v - lo) * 255.0::DOUBLE / (hi - lo), 0))) END AS BIGINT) AS v FROM px JOIN lim USING (page_id)""", PX, LIMITS)(
+    lambda spark, d: longs(areas.normalised(rasters.gray_pages(spark, d).withColumn("e", F.col("v").cast("double")), 5, 95), "page_id", "y", "x", "v")
+)
+register("o023_majority", "SELECT page_id, y, x, CASE WHEN (SELECT count(*) FROM range(7) t(i) WHERE v <= 98 + 10 * i) >= 4 THEN 0 ELSE 255 END AS v FROM px", PX)(lambda spark, d: longs(areas.majority(rasters.gray_pages(spark, d)), "page_id", "y", "x", "v"))
+register("o014_palette", "SELECT page_id, y, x, CASE v // 64 WHEN 0 THEN 0 WHEN 1 THEN 85 ELSE 200 END AS v FROM px", PX)(
+    lambda spark, d: longs(
+        areas.palette_unpacked(rasters.gray_pages(spark, d).groupBy("page_id", "y", F.floor(F.col("x") / 4).cast("int").alias("byte")).agg(F.sum(F.floor(F.col("v") / 64) * F.pow(F.lit(4), 3 - F.col("x") % 4)).cast("long").alias("packed")), 2, 8, [0, 85, 200]), "page_id", "y", "x", "v"
+    )
+)
+# ---- image files
+for _form, _packing in (("png", ""), ("bmp", ""), ("tif", "none"), ("tif", "lzw"), ("tif", "deflate"), ("tif", "packbits")):
+
+    def _round_trip(spark: SparkSession, sf_dir: str, form: str = _form, packing: str = _packing) -> DataFrame:
+        files_ = images.encoded(rasters.packed_gray(spark, sf_dir), form, 300, packing).select(F.col("page_id").cast("string").alias("path"), "content")
+        back = images.decoded(files_).select(F.col("path").cast("bigint").alias("page_id"), "width", "height", "channels", "pixels")
+        return longs(rasters.unpack(back), "page_id", "y", "x", "v")
+
+    register(f"o{'132_tiff' if _form == 'tif' else '135'}_{_packing or _form}", "SELECT page_id, y, x, v FROM px", PX)(_round_trip)
+
+
 # ---- shapes of pages
 register("o164_text_rows", "SELECT page_id, y, CAST(sum(v) AS BIGINT) AS s, max(v) AS brightest FROM pxt GROUP BY page_id, y", TEXT)(
     lambda spark, d: longs(rasters.text_pages(spark, d).groupBy("page_id", "y").agg(F.sum("v").alias("s"), F.max("v").alias("brightest")), "page_id", "y", "s", "brightest")

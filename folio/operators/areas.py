@@ -121,3 +121,77 @@ def median_of(c: Column | str, kind: str = "upper") -> Column:
     n = F.size(s)
     hi, lo = F.get(s, F.floor(n / 2).cast("int")), F.get(s, F.floor((n - 1) / 2).cast("int"))
     return {"upper": hi, "mean": (hi + lo) / 2.0, "truncated": F.floor((hi + lo) / 2)}[kind]
+
+
+def local_equalised(px: DataFrame, width: int, height: int, grid: int = 2, clip: float = 4.0) -> DataFrame:
+    """Contrast-limited equalisation of tiles, blended between the four nearest tile centres; exact integers.
+
+    A tile's counts above ``clip`` times the mean of its 256 levels (1 at least) are spread over all levels. Levels of a
+    tile become round(255 (clipped running count + share of the excess) / pixels). Tables have 256 rows a tile.
+    Pages without any level in 1..254 stay as they are. Width and height are multiples of ``grid``.
+    """
+    tw, th = width // grid, height // grid
+    area = tw * th
+    limit = max(1, int(clip * area / 256))
+    tiles = px.groupBy("page_id", F.floor(F.col("x") / tw).cast("int").alias("tx"), F.floor(F.col("y") / th).cast("int").alias("ty"))
+    counts = tiles.agg(*[F.count_if(F.col("v") == 0).alias("zero")]).drop("zero")
+    levels_ = counts.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(255))))
+    found = tiles.agg(F.collect_list("v").alias("vs")).withColumn("v", F.explode("vs")).groupBy("page_id", "tx", "ty", "v").agg(F.count("*").alias("n"))
+    run = Window.partitionBy("page_id", "tx", "ty").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    tile = Window.partitionBy("page_id", "tx", "ty")
+    table = levels_.join(found, ["page_id", "tx", "ty", "v"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    table = table.withColumns({"kept": F.sum(F.least("n", F.lit(limit))).over(run), "over": F.sum(F.greatest(F.col("n") - limit, F.lit(0))).over(tile)})
+    table = table.select("page_id", "tx", "ty", "v", saturate((F.col("kept") * 256 + F.col("over") * (F.col("v") + 1)) * 255 / F.lit(float(256 * area))).alias("new"))
+    # weights in halves of a tile, so that they are whole
+    at = lambda c, n: F.floor((2 * F.col(c) - n) / F.lit(2.0 * n)).cast("int")
+    near = px.withColumns({"x0": at("x", tw), "y0": at("y", th), "mid": (F.col("v").between(1, 254)).cast("int")})
+    near = near.withColumns({"wx": 2 * F.col("x") - tw - F.col("x0") * 2 * tw, "wy": 2 * F.col("y") - th - F.col("y0") * 2 * th})
+    corner = lambda i, j: F.struct(F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.col("x0") + i)).alias("tx"), F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.col("y0") + j)).alias("ty"), ((F.col("wx") if i else 2 * tw - F.col("wx")) * (F.col("wy") if j else 2 * th - F.col("wy"))).alias("w"))
+    four = near.withColumn("c", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)]))).select("page_id", "y", "x", "v", "mid", F.col("c.tx").alias("tx"), F.col("c.ty").alias("ty"), F.col("c.w").alias("w"))
+    blended = four.join(table, ["page_id", "tx", "ty", "v"]).groupBy("page_id", "y", "x").agg(F.first("v").alias("v"), F.max("mid").alias("mid"), F.sum(F.col("w") * F.col("new")).alias("s"))
+    some = F.max("mid").over(Window.partitionBy("page_id"))
+    return blended.withColumn("some", some).select("page_id", "y", "x", F.when(F.col("some") == 1, saturate(F.col("s") / F.lit(float(4 * tw * th)))).otherwise(F.col("v")).alias("v"))
+
+
+def gaussian(px: DataFrame, sigma: float, column: str = "v") -> DataFrame:
+    """Weighted means by exp(-d^2 / 2 sigma^2) up to three sigma, first along rows, then along columns; edges renormalise. Result in ``low``."""
+    r = max(1, round(3 * sigma))
+
+    def mean(c: str, at: str, w) -> Column:
+        near = F.collect_list(F.struct(F.col(at).cast("double").alias("p"), F.col(c).cast("double").alias("q"))).over(w)
+        weight = lambda s: F.exp(-(s["p"] - F.col(at)) * (s["p"] - F.col(at)) / (2 * sigma * sigma))
+        zero = F.lit(0.0)
+        return F.aggregate(near, zero, lambda a, s: a + weight(s) * s["q"]) / F.aggregate(near, zero, lambda a, s: a + weight(s))
+
+    return px.withColumn("low", mean(column, "x", along_x(r))).withColumn("low", mean("low", "y", along_y(r)))
+
+
+def homomorphic(px: DataFrame, sigma: float = 50, gamma_high: float = 1.8, gamma_low: float = 0.6, eps: float = 1e-6, mode: str = "LogHighpass", clamp: float = 4.0) -> DataFrame:
+    """Illumination (low) and detail (high) of the logarithm of a page parted and weighed: ``e`` is gamma_high * high, or exp of both sums within the clamp."""
+    logs = px.withColumn("l", F.log(F.greatest(F.lit(eps), F.col("v") / 255.0)))
+    parted = gaussian(logs, sigma, "l").withColumn("high", (F.col("l") - F.col("low")) * gamma_high)
+    both = F.exp(F.least(F.lit(clamp), F.greatest(F.lit(-clamp), F.col("high") + gamma_low * F.col("low"))))
+    return parted.select("page_id", "y", "x", (F.col("high") if mode == "LogHighpass" else both).alias("e"))
+
+
+def normalised(values: DataFrame, low: float = 0.5, high: float = 99.5) -> DataFrame:
+    """Values ``e`` to 0..255 between two percentiles of the page (values that occur); a flat page is 0."""
+    at = lambda p: F.expr(f"percentile_disc({p / 100}) within group (order by e)")
+    page = values.groupBy("page_id").agg(at(low).alias("lo"), at(high).alias("hi"))
+    share = (F.col("e") - F.col("lo")) * 255 / (F.col("hi") - F.col("lo"))
+    return values.join(page, "page_id").select("page_id", "y", "x", F.when(F.col("hi") - F.col("lo") < 1e-9, 0).otherwise(saturate(share)).alias("v"))
+
+
+def majority(px: DataFrame, base: int = 128, reach: int = 30, step: int = 10) -> DataFrame:
+    """Black where at least half of the thresholds base - reach .. base + reach (both ends included) say so: an expression, no row a threshold."""
+    offsets = sorted({*range(-reach, reach + 1, step), -reach, reach})
+    votes = sum(((F.col("v") <= base + d).cast("int") for d in offsets), F.lit(0))
+    return px.withColumn("v", F.when(votes >= (len(offsets) + 1) // 2, 0).otherwise(255))
+
+
+def palette_unpacked(packed: DataFrame, bits: int, width: int, palette: list[int]) -> DataFrame:
+    """Indices of 1, 2, 4 or 8 bits (page_id, y, byte, packed), the highest first, looked up in a palette; indices past its end take its last."""
+    per = 8 // bits
+    places = packed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per - 1)))).withColumn("x", (F.col("byte") * per + F.col("k")).cast("int")).where(F.col("x") < width)
+    index = F.expr(f"shiftright(cast(packed as int), cast(8 - {bits} * (k + 1) as int)) & {2**bits - 1}")
+    return places.select("page_id", "y", "x", F.get(F.array(*map(F.lit, palette)), F.least(index, F.lit(len(palette) - 1))).alias("v"))
