@@ -128,11 +128,10 @@ def local_equalised(px: DataFrame, width: int, height: int, grid: int = 2, clip:
 
     A tile's counts above ``clip`` times the mean of its 256 levels (1 at least) are spread over all levels. Levels of a
     tile become round(255 (clipped running count + share of the excess) / pixels). Tables have 256 rows a tile.
-    Pages without any level in 1..254 stay as they are. Width and height are multiples of ``grid``.
+    Pages without any level in 1..254 stay as they are. The last tiles of a side are smaller where ``grid`` doesn't divide it.
     """
-    tw, th = width // grid, height // grid
-    area = tw * th
-    limit = max(1, int(clip * area / 256))
+    tw, th = -(-width // grid), -(-height // grid)
+    across, down = -(-width // tw), -(-height // th)
     tiles = px.groupBy("page_id", F.floor(F.col("x") / tw).cast("int").alias("tx"), F.floor(F.col("y") / th).cast("int").alias("ty"))
     counts = tiles.agg(*[F.count_if(F.col("v") == 0).alias("zero")]).drop("zero")
     levels_ = counts.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(255))))
@@ -140,13 +139,14 @@ def local_equalised(px: DataFrame, width: int, height: int, grid: int = 2, clip:
     run = Window.partitionBy("page_id", "tx", "ty").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     tile = Window.partitionBy("page_id", "tx", "ty")
     table = levels_.join(found, ["page_id", "tx", "ty", "v"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    table = table.withColumns({"kept": F.sum(F.least("n", F.lit(limit))).over(run), "over": F.sum(F.greatest(F.col("n") - limit, F.lit(0))).over(tile)})
-    table = table.select("page_id", "tx", "ty", "v", saturate((F.col("kept") * 256 + F.col("over") * (F.col("v") + 1)) * 255 / F.lit(float(256 * area))).alias("new"))
+    table = table.withColumn("area", F.sum("n").over(tile)).withColumn("limit", F.greatest(F.lit(1), F.floor(F.col("area") * F.lit(clip / 256))))
+    table = table.withColumns({"kept": F.sum(F.least("n", "limit")).over(run), "over": F.sum(F.greatest(F.col("n") - F.col("limit"), F.lit(0))).over(tile)})
+    table = table.select("page_id", "tx", "ty", "v", saturate((F.col("kept") * 256 + F.col("over") * (F.col("v") + 1)) * 255 / (F.col("area") * F.lit(256.0))).alias("new"))
     # weights in halves of a tile, so that they are whole
     at = lambda c, n: F.floor((2 * F.col(c) - n) / F.lit(2.0 * n)).cast("int")
     near = px.withColumns({"x0": at("x", tw), "y0": at("y", th), "mid": (F.col("v").between(1, 254)).cast("int")})
     near = near.withColumns({"wx": 2 * F.col("x") - tw - F.col("x0") * 2 * tw, "wy": 2 * F.col("y") - th - F.col("y0") * 2 * th})
-    corner = lambda i, j: F.struct(F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.col("x0") + i)).alias("tx"), F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.col("y0") + j)).alias("ty"), ((F.col("wx") if i else 2 * tw - F.col("wx")) * (F.col("wy") if j else 2 * th - F.col("wy"))).alias("w"))
+    corner = lambda i, j: F.struct(F.greatest(F.lit(0), F.least(F.lit(across - 1), F.col("x0") + i)).alias("tx"), F.greatest(F.lit(0), F.least(F.lit(down - 1), F.col("y0") + j)).alias("ty"), ((F.col("wx") if i else 2 * tw - F.col("wx")) * (F.col("wy") if j else 2 * th - F.col("wy"))).alias("w"))
     four = near.withColumn("c", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)]))).select("page_id", "y", "x", "v", "mid", F.col("c.tx").alias("tx"), F.col("c.ty").alias("ty"), F.col("c.w").alias("w"))
     blended = four.join(table, ["page_id", "tx", "ty", "v"]).groupBy("page_id", "y", "x").agg(F.first("v").alias("v"), F.max("mid").alias("mid"), F.sum(F.col("w") * F.col("new")).alias("s"))
     some = F.max("mid").over(Window.partitionBy("page_id"))
