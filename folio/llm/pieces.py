@@ -64,7 +64,7 @@ class Vocabulary:
 
     def stays(self, left: str, right: str) -> bool:
         """Whether the merges leave just these two pieces of their concatenation."""
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
         got = self.pairs[left, right] = merged(left + right, self.scores) == [x for x in (left, right) if x]
         return got
@@ -195,6 +195,10 @@ def lists(rows: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def proof(decoded: str, text: str) -> tuple[str, bool]:
+    return hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), decoded == text
+
+
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """Ids of each whole text, decoded again to prove the round trip. The model's path must exist on the executors."""
 
@@ -204,19 +208,19 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
         def step(batch: pa.RecordBatch) -> dict:
             texts = [t or "" for t in batch["text"].to_pylist()]
             ids = vocabulary.encode_batch(texts)
-            back = [vocabulary.decode(x) for x in ids]
+            proofs = [proof(vocabulary.decode(x), t) for x, t in zip(ids, texts)]  # one decoded text at a time
             return {
                 "doc_id": batch["doc_id"],
                 "n_chars": [len(t) for t in texts],
                 "n_pieces": [len(x) for x in ids],
                 "ids": lists(ids),
-                "decoded_sha256": [hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back],
-                "round_trip": [a == b for a, b in zip(texts, back)],
+                "decoded_sha256": [p[0] for p in proofs],
+                "round_trip": [p[1] for p in proofs],
             }
 
         return step
 
-    return map_batches(documents(docs).select("doc_id", "text"), ENCODED, make, rows=8192, size=12_000_000)
+    return map_batches(documents(docs).select("doc_id", "text"), ENCODED, make, rows=8192, size=6_000_000)
 
 
 TEXT = T.StructType([DOCUMENT["doc_id"], DOCUMENT["text"]])
