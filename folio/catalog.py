@@ -29,6 +29,8 @@ SPREAD = "spr AS (SELECT page_id // 2 AS page_id, y, x + 8 * (page_id % 2) AS x,
 TEXT = """chars AS (SELECT doc_id, text, length(text) - length(text) % 64 AS n FROM documents),
   pxt AS (SELECT doc_id AS page_id, i // 64 AS y, i % 64 AS x, CAST(least(255, ord(c)) AS BIGINT) AS v
   FROM (SELECT doc_id, n, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM chars) WHERE i < n)"""
+WHOLE_TEXT = """whole AS (SELECT doc_id AS page_id, i // 64 AS y, i % 64 AS x, CAST(least(255, ord(c)) AS BIGINT) AS v
+  FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM documents))"""
 FILES = """files AS (SELECT page_id, 'scans/h' || CAST(page_id % 7 AS VARCHAR) AS folder, 'Page' || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 3 = 0 THEN 'b' ELSE '' END AS base_name,
   CASE page_id % 5 WHEN 0 THEN 'tif' WHEN 1 THEN 'bmp' WHEN 2 THEN 'jpg' WHEN 3 THEN 'txt' ELSE 'png' END AS ext FROM pages)"""
 
@@ -380,8 +382,16 @@ for _form, _packing in (("png", ""), ("bmp", ""), ("tif", "none"), ("tif", "lzw"
 
 
 # ---- shapes of pages
+def text_row_sums(px: DataFrame) -> DataFrame:
+    return longs(px.groupBy("page_id", "y").agg(F.sum("v").alias("s"), F.max("v").alias("brightest")), "page_id", "y", "s", "brightest")
+
+
+# The SQL of this one has full rows only; the next has every character.
 register("o164_text_rows", "SELECT page_id, y, CAST(sum(v) AS BIGINT) AS s, max(v) AS brightest FROM pxt GROUP BY page_id, y", TEXT)(
-    lambda spark, d: longs(rasters.text_pages(spark, d).groupBy("page_id", "y").agg(F.sum("v").alias("s"), F.max("v").alias("brightest")), "page_id", "y", "s", "brightest")
+    lambda spark, d: text_row_sums(rasters.text_pages(spark, d).where(F.col("y") < F.floor(F.col("n") / rasters.TEXT_WIDTH)))
+)
+register("o164_whole_text_rows", "SELECT page_id, y, CAST(sum(v) AS BIGINT) AS s, CAST(max(v) AS BIGINT) AS brightest FROM whole GROUP BY page_id, y", WHOLE_TEXT)(
+    lambda spark, d: text_row_sums(rasters.text_pages(spark, d))
 )
 register("o164_packed_and_back", "SELECT page_id, y, x, v FROM px", PX)(lambda spark, d: longs(rasters.unpack(rasters.packed_gray(spark, d)), "page_id", "y", "x", "v"))
 

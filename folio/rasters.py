@@ -45,10 +45,9 @@ def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exploded pages 64 wide, a gray level for each character of a document; the ragged last row is left out."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text", (F.length("text") - F.length("text") % TEXT_WIDTH).alias("n"))
-    c = d.select("page_id", "n", F.posexplode(F.split("text", "")).alias("i", "c")).where("i < n")
-    return c.select("page_id", F.floor(F.col("i") / TEXT_WIDTH).cast("int").alias("y"), (F.col("i") % TEXT_WIDTH).cast("int").alias("x"), F.least(F.lit(255), F.ascii("c")).alias("v"))
+    """Exploded pages 64 wide, a gray level for each character of a document; the last row is as short as it comes."""
+    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.length("text").alias("n"), F.posexplode(F.split("text", "")).alias("i", "c")).where("i < n")
+    return c.select("page_id", "n", F.floor(F.col("i") / TEXT_WIDTH).cast("int").alias("y"), (F.col("i") % TEXT_WIDTH).cast("int").alias("x"), F.least(F.lit(255), F.ascii("c")).alias("v"))
 
 
 def packed_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
