@@ -1,4 +1,4 @@
-"""The registered queries of the operators: one a number, over whole tables, with the parameters of production."""
+"""The registered queries of the operators: over whole tables, with the parameters of production."""
 
 from __future__ import annotations
 
@@ -37,6 +37,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"])
 
 
+def op6_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(table(spark, sf_dir, "pages"), language.train(table(spark, sf_dir, "documents")))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
@@ -56,7 +60,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_fingerprints, op2_top_k_search, op3_quality, op4_secrets, op5_mixing, op6_language, op7_chat_format, op8_near_duplicates, op9_personal_data, op10_pieces)
+        for f in (op1_fingerprints, op2_top_k_search, op3_quality, op4_secrets, op5_mixing, op6_language, op6_page_language, op7_chat_format, op8_near_duplicates, op9_personal_data, op10_pieces)
     }
 
 

@@ -7,7 +7,8 @@ Four sources of evidence meet in one posterior per document:
   declarations agree with texts over the whole corpus;
 * the suffix of the address, and
 * the host: its language counts over the whole corpus, smoothed by those of its suffix, which are smoothed
-  by those of the corpus. Counts come from grouped aggregation with map-side sums, one row a host and language.
+  by those of the corpus. A host with addresses of several suffixes counts for each of them by itself. Counts
+  come from grouped aggregation with map-side sums, one row a host, suffix and language.
 
 Rejected are documents whose best language stays under ``least`` or with too few letters among their signs
 (empty and null texts among them). Null declarations, hosts and addresses count as no evidence of their own
@@ -131,7 +132,7 @@ def evidence(df: DataFrame, host: Column, declared: Column, address: Column | No
 
 
 def priors(df: DataFrame, model: Model) -> tuple[DataFrame, np.ndarray]:
-    """(host, log prior of each language), and log P(declared | language); all rows of ``df`` count."""
+    """(host, suffix, log prior of each language), and log P(declared | language); all rows of ``df`` count."""
     k = len(model.languages)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -154,24 +155,25 @@ def priors(df: DataFrame, model: Model) -> tuple[DataFrame, np.ndarray]:
             agree[r["declared"], r["best"]] += r["n"]
     total /= total.sum()
     each = [F.sum(F.when(F.col("best") == i, F.col("count")).otherwise(0)).cast("double") for i in range(k)]
-    by_host = seen.groupBy("host").agg(F.max("suffix").alias("suffix"), F.array(*each).alias("own"))
+    by_host = seen.groupBy("host", "suffix").agg(F.array(*each).alias("own"))
     by_suffix = seen.groupBy("suffix").agg(F.array(*each).alias("around"))
     base = F.array(*[F.lit(float(x)) for x in total])
     size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     smooth = lambda own, above, weight: F.zip_with(own, above, lambda n, p: (n + weight * p) / (size(own) + weight))
     joined = by_host.join(by_suffix, "suffix", "left")
     prior = smooth(F.col("own"), smooth(F.col("around"), base, SUFFIX_WEIGHT), HOST_WEIGHT)
-    return joined.select(F.col("host").alias("prior_host"), F.transform(prior, lambda p: F.log(p)).alias("prior")), np.log(agree / agree.sum(axis=0))
+    return joined.select(F.col("host").alias("prior_host"), F.col("suffix").alias("prior_suffix"), F.transform(prior, lambda p: F.log(p)).alias("prior")), np.log(agree / agree.sum(axis=0))
 
 
 def with_priors(df: DataFrame, prior: DataFrame) -> DataFrame:
     """Texts stay where they are while hosts are counted to be ``MOST_BROADCAST`` at most; beyond that both sides meet by host and salt, so a hot host is many tasks."""
     prior = cut(prior)
+    same = (F.col("evidence_host") == F.col("prior_host")) & (F.col("evidence_suffix") == F.col("prior_suffix"))
     if prior.count() <= MOST_BROADCAST:
-        return df.join(F.broadcast(prior), F.col("evidence_host") == F.col("prior_host"), "left")
+        return df.join(F.broadcast(prior), same, "left")
     salted = prior.withColumn("prior_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = (F.monotonically_increasing_id() % SALTS).cast("int")
-    return df.withColumn("evidence_salt", salt).join(salted, (F.col("evidence_host") == F.col("prior_host")) & (F.col("evidence_salt") == F.col("prior_salt")), "left")
+    return df.withColumn("evidence_salt", salt).join(salted, same & (F.col("evidence_salt") == F.col("prior_salt")), "left")
 
 
 VERDICT = [

@@ -9,7 +9,8 @@ from itertools import product
 
 import pytest
 
-from folio.llm import chat, fingerprints, language, mixing, neardup, personal, pieces, quality, search, secrets
+from folio.llm import catalog, chat, fingerprints, language, mixing, neardup, personal, pieces, quality, search, secrets
+from folio.llm.common import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, set_key string, id long, bucket int, target string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -220,6 +221,49 @@ def test_language_with_many_hosts(docs, monkeypatch):
     assert [(r.doc_id, r.identified, r.kept) for r in few] == [(r.doc_id, r.identified, r.kept) for r in many]
 
 
+def test_page_language(spark, tmp_path):
+    rng, np = random.Random(6), language.np
+    said = {"en": "the and with house water over".split(), "fr": "être où garçon maison leçon très".split()}
+    docs = [(i, " ".join(rng.choice(said[k]) for _ in range(40)), k) for i in range(200) for k in [("en", "fr")[i % 2]]]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    pages = []
+    for i in range(120):
+        k = ("en", "fr")[i % 3 == 0]
+        body = " ".join(rng.choice(said[k]) for _ in range(rng.choice([0, 1, 30])))
+        lang = rng.choice([f' lang="{k}"', f" class=x LANG = {k}-XX", ' lang="xx"', ""])
+        url = rng.choice([f"https://both.example.org/{k}/{i}", f"http://h{i % 4}.{k}:80/p", f"https://{k}.example.com/{k}", None])
+        pages.append((i, url, f"<!DOCTYPE html><html{lang}><p>{body}</p></html>"))
+    pages += [(None, "https://both.example.org/fr/x", None), (200, "", ""), (201, "https://both.example.org/fr/y", "<html><p></p>"), (201, "https://both.example.org/en/y", "<html><p></p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    model = language.train(table(spark, str(tmp_path), "documents"))
+    texts = [html or "" for _, _, html in pages]
+    ll, share = language.log_likelihoods(model, texts)
+    best, known = ll.argmax(axis=1).tolist(), model.languages
+    place, told = [], []
+    for _, url, html in pages:
+        host = (re.match(r"[a-zA-Z]+://([^/:?#]+)", url or "") or ["", ""])[1]
+        path, label = re.match(r"[a-zA-Z]+://[^/]*/([a-zA-Z]{2})(?:/|$)", url or ""), re.search(r"\.([A-Za-z]{2,})$", host)
+        place.append((host, path[1].lower() if path else label[1].lower() if label else ""))
+        m = re.search(r"""<html[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", html or "", re.IGNORECASE)
+        told.append(None if not m else known.index(m[1].lower()) if m[1].lower() in known else len(known))
+    all_, total = range(len(pages)), [1 + best.count(k) for k in range(2)]
+    share_of = lambda at, above, weight: [(sum(best[j] == k for j in at) + weight * above[k]) / (len(at) + weight) for k in range(2)]
+    want = {}
+    for i in all_:
+        around = share_of([j for j in all_ if place[j][1] == place[i][1]], [t / sum(total) for t in total], language.SUFFIX_WEIGHT)
+        p = np.log(share_of([j for j in all_ if place[j] == place[i]], around, language.HOST_WEIGHT)) + ll[i]
+        if told[i] is not None:
+            agree = [[0.02 + sum(told[j] == d and best[j] == k for j in all_) for k in range(2)] for d in range(3)]
+            p = p + [math.log(agree[told[i]][k] / sum(a[k] for a in agree)) for k in range(2)]
+        p = np.exp(p - p.max())
+        p /= p.sum()
+        want.setdefault((pages[i][0], pages[i][1]), (known[int(p.argmax())], round(float(p.max()), 6), known[best[i]], bool(p.max() >= 0.5 and share[i] >= 0.2)))
+    out = catalog.queries()["op6_page_language"](spark, str(tmp_path)).collect()
+    assert len(out) == len(pages)
+    assert {(r.page_id, r.url): (r.identified, round(r.confidence, 6), r.text_lang, r.kept) for r in out} == want
+    assert want[201, pages[-2][1]][0] == "fr" and want[201, pages[-1][1]][0] == "en"  # the path alone
+
+
 def brute_components(data, n, percent):
     sets = {}
     for r in data:
