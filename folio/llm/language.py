@@ -35,7 +35,8 @@ TEMPER = 0.25
 SLICE = 300_000  # bytes of text at once: arrays of this size stay in the cache
 MOST_BROADCAST, SALTS = 100_000, 64
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0
-MARKUP = re.compile(r"""<html[^>]{0,500}?\blang\s{0,4}=\s{0,4}["']?([A-Za-z]{2,3})""", re.IGNORECASE)
+MARKUP = re.compile("<html", re.IGNORECASE)
+LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.IGNORECASE)
 LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 
 
@@ -114,13 +115,23 @@ EVIDENCE = ("text", "declared", "host", "suffix")
 SEEN = T.StructType([T.StructField("host", T.StringType()), T.StructField("suffix", T.StringType()), T.StructField("declared", T.IntegerType()), T.StructField("best", T.IntegerType())])
 
 
+def marked(text: str) -> str | None:
+    """What the first html tag with a language declares, wherever it stands; each tag is read once."""
+    at = 0 if "<" in text else len(text)
+    while m := MARKUP.search(text, at):
+        at = text.find(">", m.end())
+        at = at if at >= 0 else len(text)
+        if found := LANG.search(text, m.end(), at):
+            return found.group(1).lower()
+    return None
+
+
 def declared_index(model: Model, texts: list[str], declared: list[str | None]) -> np.ndarray:
     """Number of the declared language: -1 none, and one past the last for a language that isn't known."""
     known = {x: i for i, x in enumerate(model.languages)}
     out = []
     for text, said in zip(texts, declared):
-        m = MARKUP.search(text, 0, 4096)
-        said = m.group(1).lower() if m else said.lower()[:2] if said else None
+        said = marked(text) or (said.lower()[:2] if said else None)
         out.append(-1 if not said else known.get(said, len(known)))
     return np.array(out, np.int64)
 

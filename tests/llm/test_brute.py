@@ -264,6 +264,19 @@ def test_page_language(spark, tmp_path):
     assert want[201, pages[-2][1]][0] == "fr" and want[201, pages[-1][1]][0] == "en"  # the path alone
 
 
+def test_markup_is_found_anywhere():
+    plain, rng = re.compile(r"""<html[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.IGNORECASE), random.Random(8)
+    long = ["<!-- " + "x" * 9000 + ' --><html lang="fr">', "<html " + "data=1 " * 200 + "lang=fr>", "<html lang" + " " * 20 + "=" + " " * 20 + "fr>"]
+    assert [language.marked(t) for t in long] == ["fr"] * 3
+    model = language.Model(["en", "fr"], None)
+    assert language.declared_index(model, long, ["en"] * 3).tolist() == [1, 1, 1]
+    bits = ["<html", "<HTML ", " lang", "=", ' "en', "fr-FR", ">", " ", "x", "<p lang='de'>", "lang=es"]
+    for t in ("".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(5000)):
+        m = plain.search(t)
+        assert language.marked(t) == (m[1].lower() if m else None)
+    assert language.marked("<html " * 200_000) is None
+
+
 def brute_components(data, n, percent):
     sets = {}
     for r in data:
