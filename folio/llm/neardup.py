@@ -4,6 +4,7 @@
   ``n``-word shingles (with fewer words the whole sequence as one; without words or text the set is empty and
   linked with nothing). Shingles are 64-bit hashes.
 * Documents of equal sets form a class at once, by a grouped minimum, so any number of exact copies is one row.
+  A class is named by a 64-bit hash of its set, so rows without an id, or of one id and several texts, are apart.
 * Tensored banding: two small collections of ``r`` keys, each of ``k`` minhashes, are combined pairwise into
   ``r * r`` table keys, of 2 * k minhashes each: 2 * r * k minhashes do the work of 2 * r * r * k. Two documents
   meet in a table iff they share a key of either collection, so documents that share none are set aside before
@@ -14,8 +15,10 @@
   shingles are cut into blocks and each two blocks meet in a task of their own, so no task holds a large group.
   What leaves a task is a spanning forest of the links. Components of those are the result.
 
-Component ids are least doc_ids. Null ids, repeated ids and copies are fine: rows of equal sets share a component;
-a null id counts as the least (-2^63). Empty documents have the component of their own id and are kept.
+Component ids are least doc_ids; a null id counts as the least (-2^63), so components that both have a null id, or one
+repeated id, as their least share that number. One row of each component is kept: of the least id, and of rows of that
+id the one whose columns have the least hash (of wholly equal rows, any). Empty documents have the component of their
+own id and are kept.
 """
 
 from __future__ import annotations
@@ -82,6 +85,7 @@ def keys_of(found: np.ndarray) -> np.ndarray:
 SIGNED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("seal", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("set_key", T.BinaryType()),
         T.StructField("keys", T.ArrayType(T.IntegerType())),
@@ -89,6 +93,11 @@ SIGNED = T.StructType(
 )
 
 
+def sealed(docs: DataFrame) -> DataFrame:
+    """The rows with ``id``, which is never null, and ``seal``, a hash of all columns."""
+    return conform(docs, DOCUMENT).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("seal", F.xxhash64(*DOCUMENT.names))
+
+
 def signed(docs: DataFrame, n: int) -> DataFrame:
     def make():
         hashes = WordHashes()
@@ -97,6 +106,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
             sets = [shingles(t, n, hashes) for t in batch["text"].to_pylist()]
             return {
                 "doc_id": batch["doc_id"],
+                "seal": batch["seal"],
                 "n_shingles": [len(s) for s in sets],
                 "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "keys": [keys_of(s).view(np.int32) if len(s) else None for s in sets],
@@ -104,7 +114,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
 
         return step
 
-    return map_batches(conform(docs, DOCUMENT).select("doc_id", "text"), SIGNED, make)
+    return map_batches(sealed(docs).select("doc_id", "text", "seal"), SIGNED, make)
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -189,16 +199,16 @@ def forest(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray
 
 
 def links(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the true links, of classes that ``grouped`` (node, root) puts together."""
+    """(a, b): a spanning forest of the true links, of classes that ``grouped`` (node, root, n_shingles, and id and seal of a row) puts together."""
 
     def make():
         hashes = WordHashes()
         return lambda batch: {c: batch[c] for c in ("root", "id", "blocks", "block")} | {"shingles": [shingles(t, n, hashes).tobytes() for t in batch["text"].to_pylist()]}
 
     sums = grouped.groupBy("root").agg(F.sum("n_shingles").alias("total")).select("root", F.ceil(F.col("total") / CLUSTER_SHINGLES).cast("int").alias("blocks"))
-    texts = conform(docs, DOCUMENT).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "text")
+    texts = sealed(docs).select("id", "seal", "text")
     placed = grouped.join(sums, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    full = texts.join(placed, F.col("id") == F.col("node")).select("root", "id", "text", "blocks", "block")
+    full = texts.join(placed, ["id", "seal"]).select("root", F.col("node").alias("id"), "text", "blocks", "block").dropDuplicates(["id"])
     sets = map_batches(full, SETS, make)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y")))
     dealt = sets.select("root", "id", "shingles", "block", F.explode(pairs).alias("pair")).select("root", "pair.x", "pair.y", "block", "id", "shingles")
@@ -211,11 +221,8 @@ def links(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> DataFram
 
         def end() -> None:
             if len(held) > 1 and now is not None:
-                seen: dict[int, tuple[int, np.ndarray]] = {}
-                for block, i, s in held:  # an id that is repeated with other texts stands for its first row here
-                    seen.setdefault(i, (block, s))
-                left = [(i, s) for i, (block, s) in seen.items() if block == now[1]]
-                right = None if now[1] == now[2] else [(i, s) for i, (block, s) in seen.items() if block == now[2]]
+                left = [(i, s) for block, i, s in held if block == now[1]]
+                right = None if now[1] == now[2] else [(i, s) for block, i, s in held if block == now[2]]
                 if left and (right is None or right):
                     found.extend(forest(left, right, percent))
             held.clear()
@@ -238,23 +245,40 @@ def links(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> DataFram
     return dealt.mapInArrow(run, LINK)
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    all_rows = cut(signed(docs, n).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))))
+SALTS = 32
+
+
+def judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, id, seal, n_shingles, component_id, kept for every row."""
+    all_rows = cut(signed(docs, n).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("row", F.monotonically_increasing_id()))
     full = all_rows.where("set_key is not null")
     # One row a class, with map-side minima: hot copies are one row a task.
-    by_set = cut(full.groupBy("set_key").agg(F.min("id").alias("class"), F.min_by(F.struct("n_shingles", "keys"), "id").alias("of")))
-    least = by_set.select("set_key", "class")
-    classes = by_set.select(F.col("class").alias("id"), "of.n_shingles", "of.keys").dropDuplicates(["id"])
-    grouped = clusters(classes).join(classes.select(F.col("id").alias("node"), "n_shingles"), "node")
-    roots = components(links(docs, grouped, n, percent))
-    by_class = least.join(roots, F.col("class") == F.col("node"), "left").select("set_key", F.coalesce("root", "class").alias("component_id"))
-    out = all_rows.join(by_class, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    by_set = cut(full.groupBy("set_key").agg(F.min(F.struct("id", "seal", "row", "n_shingles", "keys")).alias("of")).withColumn("node", F.xxhash64("set_key")))
+    classes = by_set.select(F.col("node").alias("id"), "of.n_shingles", "of.keys")
+    grouped = clusters(classes).join(by_set.select("node", "of.n_shingles", "of.id", "of.seal"), "node")
+    roots = cut(components(links(docs, grouped, n, percent)))
+    first = by_set.select("node", F.struct("of.id", "of.seal", "of.row").alias("least"))
+    heads = roots.join(first, "node").groupBy("root").agg(F.min("least").alias("head"))
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a large component is many tasks
+    headed = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(heads, ["root", "salt"]).select("node", "head")
+    by_class = by_set.join(headed, "node", "left").select("set_key", F.coalesce("head", F.struct("of.id", "of.seal", "of.row")).alias("head"))
+    out = all_rows.join(by_class, "set_key", "left")
+    kept = F.col("set_key").isNull() | (F.col("row") == F.col("head.row"))
+    return out.select("doc_id", "id", "seal", "n_shingles", F.coalesce("head.id", "id").alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    return judged(docs, n, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that have a near copy of a lower id; repeated rows of a kept id stay."""
-    gone = near_duplicates(docs, n, percent).where("not kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("gone")).distinct()
-    rows = conform(docs, DOCUMENT)
-    return rows.join(gone, F.coalesce("doc_id", F.lit(-(2**63))) == F.col("gone"), "left_anti")
+    """One row of each group of near copies; empty documents stay."""
+    by_row = judged(docs, n, percent).groupBy("id", "seal").agg(F.count("*").alias("n"), F.count_if("kept").alias("stay"))
+    some = cut(by_row.where("stay < n"))
+    rows = sealed(docs)
+    out = rows.join(some, ["id", "seal"], "left_anti")
+    again = some.where("stay > 0").select("id", "seal")  # equal rows, of which one stays
+    if not again.isEmpty():
+        out = out.union(rows.join(again, ["id", "seal"], "left_semi").select(*out.columns).dropDuplicates(["id", "seal"]))
+    return out.select(*DOCUMENT.names)

@@ -309,6 +309,20 @@ def test_near_duplicates_in_blocks(docs, data, monkeypatch):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 2).collect()} == {i: c for i, (_, c) in brute_components(data, 2, 80).items()}
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randint(0, 40)) for _ in range(60)) for _ in range(12)]
+    near = [t + " more" for t in texts]
+    d = [(None, t) for t in texts] * 3 + [(7, t) for t in near[:6]] + [(i + 50, t) for i, t in enumerate(near[6:])] + [(None, None), (None, None), (3, "")]
+    d += [(8, "one lone text here")] * 4 + [(9, "first of a repeated id"), (9, "and quite another text of it")]
+    docs = spark.createDataFrame(d, "doc_id long, text string").repartition(4)
+    out = neardup.near_duplicates(docs, 2).collect()
+    assert len(out) == len(d) and sum(r.kept for r in out) == 12 + 3 + 1 + 2
+    assert {r.component_id for r in out if r.doc_id in (7, *range(50, 56))} == {-(2**63)}  # near copies of rows without an id
+    want = sorted([(None, t) for t in texts] + [(None, None)] * 2 + [(3, ""), (8, "one lone text here"), (9, "first of a repeated id"), (9, "and quite another text of it")], key=str)
+    assert sorted([(r.doc_id, r.text) for r in neardup.keep_one(docs, 2).collect()], key=str) == want
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)]
