@@ -3,7 +3,9 @@
 Three fixed patterns give the base spans. In addition, values that stand in a credential context
 ("pwd: ...", "Authorization: Bearer ...") are priced by the number of guesses that an informed
 attacker needs: a dynamic programme over the value finds the cheapest segmentation into common
-words, dates, repeats, keyboard walks and brute-force spans. Expensive values become ``guess`` spans.
+words, dates, repeats, keyboard walks and brute-force spans. Expensive values become ``guess`` spans, whatever
+characters they are of. The words are a short list of usual passwords and the whole words of the public 32k piece
+vocabulary by rank, so that prose in credential context ("the password is ...") stays cheap.
 
 Null and empty texts have no spans. Repeated rows give repeated results. Texts are scanned whole.
 """
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import cache
 from math import log2
 
 import pyarrow as pa
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from folio.llm.common import DOCUMENT, conform, documents, map_batches
+from folio.llm.pieces import DEFAULT_MODEL, MARK
 
 #: The base patterns, as the contract has them.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -29,7 +33,7 @@ KINDS = ("assign", "access", "hex", "guess")
 
 #: Where a value may be a credential. The value is the last group.
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|(?:access|private|client|account)[_-]?(?:key|secret)|auth(?:orization)?|bearer|credentials?|login)\b["']?\s{0,4}(?:(?::=|=>|[:=])\s{0,4}|\bis\s{1,4})(?:bearer\s{1,4})?["']?([^\s"'<>,;]{6,})""",
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|(?:access|private|client|account)[_-]?(?:key|secret)|auth(?:orization)?|bearer|credentials?|login)\b["']?\s{0,4}(?:(?::=|=>|[:=])\s{0,4}|\bis\s{1,4})(?:bearer\s{1,4})?["']?([^\s"'<>,;]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 #: Words that guessers try first, most usual first.
@@ -43,13 +47,22 @@ PLAIN = str.maketrans("430@$51!7", "aeoassiit")
 DATE = re.compile(r"(?=((?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\3(?:19|20)\d\d))")
 YEAR = re.compile(r"(?=((?:19|20)\d\d))")
 REPEAT = re.compile(r"(.{1,8}?)\1{2,}", re.DOTALL)
-
-WORD_BITS = {w: log2(rank + 2) for rank, w in enumerate(COMMON)}
-LONGEST_WORD = max(map(len, WORD_BITS))
 NEXT_TO = {(a, b) for row in KEYBOARD for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
 SEGMENT_BITS = 1.0  # an attacker tries short segmentations first
 
 
+@cache
+def word_bits() -> tuple[dict[str, float], int]:
+    """Bits of words by rank, the usual ones before the whole words (three letters or more) of the vocabulary; and the most letters."""
+    import sentencepiece as sp
+
+    m = sp.SentencePieceProcessor(model_file=DEFAULT_MODEL)
+    pieces = map(m.id_to_piece, range(m.get_piece_size()))
+    whole = (p[1:].lower() for p in pieces if p.startswith(MARK))
+    words = dict.fromkeys([*COMMON, *(w for w in whole if len(w) > 2 and w.isalpha())])
+    return {w: log2(rank + 2) for rank, w in enumerate(words)}, max(map(len, words))
+
+
 def char_bits(c: str) -> float:
     """Brute-force bits of one character by its class."""
     if c.isdigit() and c.isascii():
@@ -62,11 +75,11 @@ def char_bits(c: str) -> float:
 def segments(value: str) -> list[tuple[int, int, float, str]]:
     """(start, end, bits, what) of all patterned spans of a value."""
     low, found = value.lower(), []
-    plain, n = low.translate(PLAIN), len(value)
+    plain, n, (words, longest) = low.translate(PLAIN), len(value), word_bits()
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            bits = WORD_BITS.get(low[i:j])
-            if bits is None and (other := WORD_BITS.get(plain[i:j])) is not None:
+        for j in range(i + 3, min(n, i + longest) + 1):
+            bits = words.get(low[i:j])
+            if bits is None and (other := words.get(plain[i:j])) is not None:
                 bits = other + 1.5
             if bits is not None:
                 found.append((i, j, bits + (value[i:j] != low[i:j]), "word"))
@@ -108,8 +121,7 @@ def spans_of(text: str, least_bits: float) -> tuple[list[tuple[int, int, int]],
     for m in CONTEXT.finditer(text):
         value = m.group(1)
         most = max(most, bits := guess_bits(value))
-        mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-        if bits >= least_bits and mixed and not any(a < m.end(1) and m.start(1) < b for a, b in covered):
+        if bits >= least_bits and not any(a < m.end(1) and m.start(1) < b for a, b in covered):
             found.append((m.start(1), 3, m.end(1)))
     return sorted(found), most
 

@@ -163,6 +163,14 @@ def test_guess_bits_is_the_least():
         assert secrets.guess_bits(v) == pytest.approx(brute(v))
 
 
+def test_guess_cost_decides_alone():
+    for text in ("pwd: kQzTvLwXbNmRpHsd", "pin: 839201748365", "login = vq#Kd!xw-Rz(Lp)", "DB_PWD=zkQwvXjTnbRd", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQvKtLwXhJ"):
+        at = re.search(r"[:=] ?", text).end()
+        assert secrets.spans_of(text, 36.0)[0] == [(at, 3, len(text))], text
+    for text in ("the password is complicated", "their secret is unknown, the pin is important", "the login is understanding", "pwd: password123", "mypwd: kQzTvLwXbNmRpHsd"):
+        assert secrets.spans_of(text, 36.0)[0] == [], text
+
+
 def test_redaction(docs):
     out = secrets.redact(docs)
     assert out.count() == docs.count() and out.where("text like '%deadbeefdead%'").count() == 0
