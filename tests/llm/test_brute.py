@@ -92,33 +92,70 @@ def test_interior_phrases_do_not_depend_on_offset():
     assert fingerprints.likeness(a, b) > 0.9
 
 
-def test_search_is_exact(docs, data):
-    counts = [(r[0], collections.Counter(re.findall(r"\w+", (r[1] or "").lower()))) for r in data]
+def brute_search(data, asking, k):
+    """[(query_id, rank, doc_id, score)] by scoring every document."""
+    counts = [(r[0], collections.Counter(re.findall(r"\w+", (r[1] or "").lower()))) for r in data if r[0] is not None]
     n, total = len(counts), sum(sum(c.values()) for _, c in counts)
-    df = collections.Counter(t for _, c in counts for t in c)
-    got = collections.defaultdict(list)
-    for r in search.search(docs, docs.where("doc_id % 20 = 0"), k=5).collect():
-        got[r.query_id].append((r["rank"], r.doc_id, r.score))
-    for q, asked in counts:
-        if q % 20 or not asked:
-            continue
+    df, out = collections.Counter(t for _, c in counts for t in c), []
+    for q, asked in {(r[0], tuple(sorted(collections.Counter(re.findall(r"\w+", (r[1] or "").lower())).items()))) for r in asking if r[0] is not None}:
         scores = []
         for d, c in counts:
-            s = sum(w * math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / (total / n))) for t, w in asked.items() if t in c)
+            s = sum(w * math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / (total / n))) for t, w in asked if t in c)
             if s:
-                scores.append((-s, d))
-        want = sorted(scores)[:5]
-        assert [round(s, 6) for _, _, s in sorted(got[q])] == [round(-s, 6) for s, _ in want]
-
-
-def test_search_prunes_exactly(data):
-    hashes = search.TermHashes()
-    texts = [f"common word{i % 7} rare{i}" for i in range(2000)] + ["rare5 rare5 word3"] * 3
-    q = search.gather([{"doc_id": 0, "terms": search.np.unique(search.terms("common rare5 word3", hashes)).tobytes(), "counts": search.np.ones(3, search.np.int32).tobytes()}])
-    shard = search.Shard(texts, q.vocabulary, search.np.ones(3), 3.0, hashes)
-    at, s = shard.top(q.places, q.weights, 4)
-    everything = search.np.bincount(shard.owner, shard.impact, len(texts))
-    assert sorted(s)[-4:] == sorted(everything)[-4:]
+                scores.append((-round(s, 9), d))
+        out += [(q, rank, d, -s) for rank, (s, d) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+def same_hits(got, want):
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in got)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=1e-7)
+
+
+@pytest.mark.parametrize("head", [2048, 5])
+def test_search_is_exact(docs, data, head, monkeypatch):
+    """Ids, ranks, ties and scores, in few and in many shards, blocks and lots."""
+    monkeypatch.setattr(search, "HEAD", head)
+    want = brute_search(data, [r for r in data if r[0] % 3 == 0], 5)
+    same_hits(search.search(docs, docs.where("doc_id % 3 = 0"), k=5).collect(), want)
+
+
+def test_search_in_lots(docs, data, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_TERMS", 400)
+    same_hits(search.search(docs, docs.where("doc_id % 5 = 0"), k=3).collect(), brute_search(data, [r for r in data if r[0] % 5 == 0], 3))
+
+
+def test_search_ties_repeats_and_nulls(spark):
+    d = [(i, "same text for all of these") for i in range(40)] + [(7, "same text for all of these"), (None, "same text"), (50, None), (51, ""), (52, "quite another thing"), (52, "same thing")]
+    docs = spark.createDataFrame(d, "doc_id long, text string").repartition(3)
+    same_hits(search.search(docs, docs, k=4).collect(), brute_search(d, d, 4))
+
+
+def index_of(texts, asked, k_least=0.0):
+    hashes, np = search.TermHashes(), search.np
+    bags = [np.unique(search.terms(t, hashes), return_counts=True) for t in texts]
+    df = collections.Counter(int(v) for b, _ in bags for v in b)
+    found = [np.unique(search.terms(t, hashes), return_counts=True) for t in asked]
+    q = search.gather([v for v, _ in found], [c for _, c in found], len(texts), lambda words: np.array([df[int(w)] for w in words]), 8)
+    lengths = np.array([c.sum() for _, c in bags])
+    return q, search.Shard(np.arange(len(texts)), lengths, np.array([len(v) for v, _ in bags]), np.concatenate([v for v, _ in bags]), np.concatenate([c for _, c in bags]), q, lengths.mean())
+
+
+def test_search_skips_blocks(data):
+    rng, np = random.Random(4), search.np
+    topics = [[f"t{k}w{i}" for i in range(12)] for k in range(20)]
+    texts = [" ".join(rng.choice(topics[i % 20]) for _ in range(30)) for i in range(4000)]
+    q, shard = index_of(texts, texts[:40])
+    everything = [shard.exact(np.arange(4000), q.places[a:b], q.weights[a:b]) for a, b in zip(q.starts, q.starts[1:])]
+    q.least[:] = [np.sort(s)[-10] for s in everything]
+    read, scored = [], shard.scored
+    shard.scored = lambda scores, opened, asked: (read.append(opened.sum()), scored(scores, opened, asked))
+    got = {i: (d, s) for i, d, s in shard.top(q, 0, 40, 10)}
+    for i, s in enumerate(everything):
+        order = np.lexsort((shard.ids, -s))[:10]
+        assert sorted(zip(-got[i][1], got[i][0])) == list(zip(-s[order], shard.ids[order]))
+    assert sum(read) < 0.5 * 40 * len(shard.edges)  # most blocks are never read
 
 
 def test_quality_learns(spark):
