@@ -123,6 +123,8 @@ def test_search_is_exact(docs, data, head, monkeypatch):
 
 def test_search_in_lots(docs, data, monkeypatch):
     monkeypatch.setattr(search, "QUERY_TERMS", 400)
+    monkeypatch.setattr(search, "SHARD_ROWS", 4)  # several steps
+    monkeypatch.setattr(search, "STEP", 3)
     same_hits(search.search(docs, docs.where("doc_id % 5 = 0"), k=3).collect(), brute_search(data, [r for r in data if r[0] % 5 == 0], 3))
 
 
@@ -134,9 +136,9 @@ def test_search_ties_repeats_and_nulls(spark):
 
 def index_of(texts, asked, k_least=0.0):
     hashes, np = search.TermHashes(), search.np
-    bags = [np.unique(search.terms(t, hashes), return_counts=True) for t in texts]
+    bags = [search.bag(t, hashes) for t in texts]
     df = collections.Counter(int(v) for b, _ in bags for v in b)
-    found = [np.unique(search.terms(t, hashes), return_counts=True) for t in asked]
+    found = [search.bag(t, hashes) for t in asked]
     q = search.gather([v for v, _ in found], [c for _, c in found], len(texts), lambda words: np.array([df[int(w)] for w in words]), 8)
     lengths = np.array([c.sum() for _, c in bags])
     return q, search.Shard(np.arange(len(texts)), lengths, np.array([len(v) for v, _ in bags]), np.concatenate([v for v, _ in bags]), np.concatenate([c for _, c in bags]), q, lengths.mean())
@@ -148,14 +150,15 @@ def test_search_skips_blocks(data):
     texts = [" ".join(rng.choice(topics[i % 20]) for _ in range(30)) for i in range(4000)]
     q, shard = index_of(texts, texts[:40])
     everything = [shard.exact(np.arange(4000), q.places[a:b], q.weights[a:b]) for a, b in zip(q.starts, q.starts[1:])]
-    q.least[:] = [np.sort(s)[-10] for s in everything]
-    read, scored = [], shard.scored
-    shard.scored = lambda scores, opened, asked: (read.append(opened.sum()), scored(scores, opened, asked))
-    got = {i: (d, s) for i, d, s in shard.top(q, 0, 40, 10)}
-    for i, s in enumerate(everything):
-        order = np.lexsort((shard.ids, -s))[:10]
-        assert sorted(zip(-got[i][1], got[i][0])) == list(zip(-s[order], shard.ids[order]))
-    assert sum(read) < 0.5 * 40 * len(shard.edges)  # most blocks are never read
+    best = [sorted(zip(-s, shard.ids))[:10] for s in everything]
+    for least, most in ((0.0, 1.0), (0.8, 1.0), (1.0, 0.5)):
+        q.least[:] = [least * -b[-1][0] for b in best]
+        read, scored = [], shard.scored
+        shard.scored = lambda scores, rare, opened, asked: (read.append(opened.sum()), scored(scores, rare, opened, asked))
+        got = {i: sorted(zip(-s, d)) for i, d, s in shard.top(q, 0, 40, 10)}
+        assert [got[i] for i in range(40)] == best
+        assert sum(read) <= most * 40 * len(shard.edges)  # with the threshold known most blocks are never read
+        shard.scored = scored
 
 
 def test_quality_learns(spark):
