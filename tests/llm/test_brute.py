@@ -123,7 +123,8 @@ def test_search_is_exact(docs, data, head, monkeypatch):
 
 def test_search_in_lots(docs, data, monkeypatch):
     monkeypatch.setattr(search, "QUERY_TERMS", 400)
-    monkeypatch.setattr(search, "SHARD_ROWS", 4)  # several steps
+    monkeypatch.setattr(search, "SHARD_ROWS", 7)
+    monkeypatch.setattr(search, "FIRST_ROWS", 4)  # several steps
     monkeypatch.setattr(search, "STEP", 3)
     same_hits(search.search(docs, docs.where("doc_id % 5 = 0"), k=3).collect(), brute_search(data, [r for r in data if r[0] % 5 == 0], 3))
 
