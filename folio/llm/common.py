@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -42,13 +43,33 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of ``df`` in the shared checkpoint folder, so lost executors cost no more than one step."""
+    """Ends the lineage of ``df`` in the shared checkpoint folder, so lost executors cost no more than one step.
+
+    The folder is that of ``spark.checkpoint.dir``. Only a session of one machine may go without: it gets a folder of its own.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
 
 
+def meet(df: DataFrame, small: DataFrame, key: str, named: str, most: int = 100_000, salts: int = 64) -> DataFrame:
+    """``df`` with the columns of ``small`` (one row a value of ``named``, null among them) where ``key`` equals ``named``.
+
+    ``small`` is broadcast while it is counted to be ``most`` rows at most; beyond that both sides meet by value and salt, so a
+    hot value is many tasks.
+    """
+    same = F.col(key).eqNullSafe(F.col(named))
+    if small.count() <= most:
+        return df.join(F.broadcast(small), same)
+    salted = small.withColumn("meet_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = df.withColumn("own_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    return rows.join(salted, same & (F.col("own_salt") == F.col("meet_salt"))).drop("own_salt", "meet_salt")
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(arrow_type(kind.elementType))
