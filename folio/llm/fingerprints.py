@@ -11,20 +11,25 @@ hashes are the fingerprint, and two fingerprints estimate the Jaccard likeness o
 texts have equal fingerprints. The empty (or null) text has an empty fingerprint, likeness 1 to
 itself and 0 to others.
 
-The next document is found without one global sort: ids are cut into buckets at quantiles, the first
-document of each bucket is sent to the bucket before as well, and tasks read their buckets in order.
-Rows of null id come first; repeated ids are ordered by their texts.
+The next document is found without one global sort: ids are cut into buckets of some ``BUCKET_ROWS`` rows at
+quantiles, the first document of each bucket is sent to the bucket before as well, and tasks read their buckets in
+order, row by row. Beyond ``MOST_BUCKETS`` buckets they grow (their tasks hold one slice at a time all the same).
+Rows of null id come first; rows of one id are ordered by a hash of their text, then by the text, and an id of more rows
+than a bucket is cut by that hash. Very long texts are parsed whole. The empty table has no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, pairwise
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +37,7 @@ from folio.llm.common import arrow_schema, documents, slices
 
 SKETCH = 64
 LEVELS = 24
-MOST_BUCKETS = 512
+MOST_BUCKETS = 16_384
 BUCKET_ROWS = 2000
 
 ODD, ODD2, ODD3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
@@ -177,22 +182,45 @@ FINGERPRINT = T.StructType(
 )
 
 
+def bucket_of(cuts: list[int], place: Column, order: Column) -> Column:
+    """The number of a row's bucket, in the order of (place, order): one more for each cut that is not after the row.
+
+    A cut that comes ``m`` times belongs to an id of many rows, which is cut in ``m`` by the hash. Cuts are searched in
+    two steps, in some of them and then between two of those.
+    """
+    if not cuts:
+        return F.lit(0)
+    many = sorted(Counter(cuts).items())
+    step = isqrt(len(many)) + 1
+    numbered = [(c, m, number) for (c, m), number in zip(many, accumulate((m for _, m in many), initial=1))]  # (cut, how often, buckets before)
+    lists = [numbered[i : i + step] for i in range(0, len(numbered), step)]
+    known = F.from_json(F.lit(json.dumps(lists)), "array<array<array<bigint>>>")  # folded into a constant
+    top = F.split(F.lit(",".join(str(x[0][0]) for x in lists)), ",").cast("array<bigint>")
+    first = F.size(F.filter(top, lambda c: c <= place))
+    near = F.element_at(known, F.greatest(first, F.lit(1)))
+    last = F.element_at(near, F.greatest(F.size(F.filter(near, lambda x: x[0] <= place)), F.lit(1)))
+    share = F.floor((F.shiftrightunsigned(order, 1) / F.lit(2.0**63)) * last[1])
+    return F.when(first == 0, 0).otherwise(last[2] + F.when(place == last[0], share).otherwise(last[1] - 1)).cast("int")
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """(bucket, copy, doc_id, text), each bucket whole and in order within one task; the row with copy 1 that ends a bucket follows its last document."""
-    base = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("place"))
+    texts = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = texts.select("*", F.coalesce("doc_id", F.lit(-(2**63))).alias("place"), F.xxhash64("text").alias("hash"))
+    base = base.withColumn("order", F.expr("hash ^ (-9223372036854775807L - 1)"))  # as an unsigned number the hash keeps its order
     buckets = min(MOST_BUCKETS, base.count() // BUCKET_ROWS + 1)
-    cuts = sorted(set(base.approxQuantile("place", [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col("place"))) if cuts else F.lit(0)
-    based = base.withColumn("bucket", bucket)
-    heads = sorted((r["bucket"], r["place"]) for r in based.groupBy("bucket").agg(F.min("place").alias("place")).collect())  # a row for each bucket
-    before = {place: heads[i - 1][0] for i, (_, place) in enumerate(heads)}
-    own = F.struct(F.col("bucket"), F.lit(0).alias("copy"))
-    if not before:
+    cuts = sorted(map(int, base.approxQuantile("place", [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
+    based = base.withColumn("bucket", bucket_of(cuts, F.col("place"), F.col("order")))
+    heads = sorted((r["bucket"], r["head"]["place"], r["head"]["hash"]) for r in based.groupBy("bucket").agg(F.min(F.struct("place", "hash")).alias("head")).collect())  # a row for each bucket
+    if not heads:
         return based.select("bucket", F.lit(0).alias("copy"), "doc_id", "text")
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    both = F.when(F.col("place").isin(list(before)), F.array(own, F.struct(to[F.col("place")].alias("bucket"), F.lit(1).alias("copy")))).otherwise(F.array(own))
-    dealt = based.select("doc_id", "text", "place", F.explode(both).alias("to")).select("to.bucket", "to.copy", "doc_id", "text", "place")
-    return dealt.repartition(len(heads), "bucket").sortWithinPartitions("bucket", "copy", "place", "text").drop("place")
+    spark = docs.sparkSession
+    before = spark.createDataFrame([(place, of, heads[i - 1][0]) for i, (_, place, of) in enumerate(heads)], "place long, hash long, before int")  # MOST_BUCKETS rows at most
+    own = F.struct(F.col("bucket"), F.lit(0).alias("copy"))
+    both = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(1).alias("copy"))))
+    dealt = based.join(F.broadcast(before), ["place", "hash"], "left").select("doc_id", "text", "place", "hash", F.explode(both).alias("to"))
+    dealt = dealt.select("to.bucket", "to.copy", "doc_id", "text", "place", "hash")
+    return dealt.repartition(len(heads), "bucket").sortWithinPartitions("bucket", "copy", "place", "hash", "text").select("bucket", "copy", "doc_id", "text")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:

@@ -79,12 +79,85 @@ def test_fingerprints(docs, data):
     assert all(len(v) == 1 for v in same.values())
 
 
-def test_fingerprint_buckets(docs, monkeypatch):
+@pytest.mark.parametrize("size", [10, 3])
+def test_fingerprint_buckets(docs, monkeypatch, size):
     one = sorted(fingerprints.fingerprint(docs).collect())
-    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", size)
     assert sorted(fingerprints.fingerprint(docs).collect()) == one
 
 
+def test_fingerprints_of_hot_ids(spark, monkeypatch):
+    """An id of most rows is many buckets; every row still meets the next of the one order."""
+    rng = random.Random(2)
+    d = [(rng.choice([None, 7, 7, 7, i]), " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 9)))) for i in range(400)] + [(9, None)]
+    docs = spark.createDataFrame(d, "doc_id long, text string").repartition(4)
+    one = sorted(fingerprints.fingerprint(docs).collect(), key=str)
+    hashed = {r.text: r.h for r in docs.selectExpr("coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(((i if i is not None else -(2**63), hashed[t or ""], t or "") for i, t in d))
+    want = collections.Counter((i if i != -(2**63) else None, hashlib.sha256(fingerprints.edited(t, order[(k + 1) % len(order)][2]).encode()).hexdigest()) for k, (i, _, t) in enumerate(order))
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in one) == want
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 8)
+    dealt = fingerprints.in_order(docs)
+    assert max(r["count"] for r in dealt.groupBy("bucket").count().collect()) < 60
+    assert sorted(fingerprints.fingerprint(docs).collect(), key=str) == one
+
+
+def plain_names(text):
+    """The set of names of one text, name by name."""
+    u32, odd = 0xFFFFFFFF, 0x9E3779B1
+
+    def mix(x):
+        x = ((x ^ (x >> 16)) * 0x85EBCA6B) & u32
+        x = ((x ^ (x >> 13)) * 0xC2B2AE35) & u32
+        return x ^ (x >> 16)
+
+    def toss(before, now):
+        if before == now:
+            return now & 1
+        k = ((before ^ now) & -(before ^ now)).bit_length() - 1
+        return 2 * k + (now >> k & 1)
+
+    def level(names):
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [mix((x + n * odd) & u32) if n > 1 else x for x, n in runs]
+        labels = names
+        for _ in range(3):
+            labels = [toss(labels[i - 1] if i else 0, x) for i, x in enumerate(labels)]
+        heads = [0]
+        for i in range(2, len(labels) - 1):  # a first phrase of one name, and a last one, would stand alone
+            if labels[i - 1] < labels[i] > labels[i + 1]:
+                heads.append(i)
+        out = []
+        for a, b in zip(heads, [*heads[1:], len(names)]):
+            out.append(mix((sum(mix((x + odd) & u32) * pow(odd, k + 1, 2**32) for k, x in enumerate(names[a:b])) + b - a) & u32))
+        return out
+
+    names, found = [ord(c) for c in text], set()
+    for depth in range(1, fingerprints.LEVELS):
+        names = level(names)
+        if depth > 1 or len(names) == 1:
+            found |= {mix((x + depth * odd) & u32) for x in names}
+        if len(names) == 1:
+            break
+    return sorted(found)
+
+
+def test_names_one_by_one(data):
+    texts = [r[1] or "" for r in data][:80] + ["", "a", "ab", "aab", "aaaaaa", "abc" * 50, "xyzzy", "\x00\x01", "😀é" * 9]
+    got = fingerprints.name_sets(texts)
+    plain = [plain_names(t) if t else [] for t in texts]
+    assert [g.tolist() for g in got] == [p[: fingerprints.SKETCH] for p in plain]
+    for a, b in [(0, 1), (4, 5), (8, 9), (1, 70)]:
+        union = sorted(set(plain[a][:64]) | set(plain[b][:64]))[:64]
+        share = sum(x in plain[a][:64] and x in plain[b][:64] for x in union) / len(union)
+        assert fingerprints.likeness(got[a], got[b]) == pytest.approx(share)
+
+
 def test_interior_phrases_do_not_depend_on_offset():
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefgh ijklm") for _ in range(6000))
@@ -162,6 +235,36 @@ def test_search_skips_blocks(data):
         shard.scored = scored
 
 
+def test_quality_scores_one_by_one(spark):
+    """The learner against follow-the-regularised-leader written weight by weight, and scores that don't depend on their slice."""
+    rng, np = random.Random(6), quality.np
+    texts = [" ".join(rng.choice(WORDS) + ("!!" if i % 2 else "") for _ in range(rng.randint(1, 12))) for i in range(60)]
+    found = [np.unique(quality.features(t, quality.Hashes()), return_counts=True) for t in texts]
+    got = quality.learn([(f, i % 2) for i, f in enumerate(found)], 0.3, 1.0, 0.02, 0.1, 2)
+    z, n = collections.Counter(), collections.Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.02 else (math.copysign(0.02, z[i]) - z[i]) / ((1.0 + math.sqrt(n[i])) / 0.3 + 0.1)
+
+    for _ in range(2):
+        for k, (places, counts) in enumerate(found):
+            x = {int(p): c * quality.SCALE / sum(counts) for p, c in zip(places, counts)} | {1 << quality.BITS: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - k % 2) * x[i]
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.3 * w[i]
+                n[i] += g * g
+    assert max(abs(float(got[i]) - weight(i)) for i in z) < 1e-6 and np.count_nonzero(got) == sum(weight(i) != 0 for i in z)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    one = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), got).collect()}
+    for i, t in rows:
+        dot = sum(float(got[p]) * c for p, c in zip(*found[i])) * quality.SCALE / found[i][1].sum() + float(got[-1])
+        assert one[i] == pytest.approx(1 / (1 + math.exp(-dot)), abs=1e-12)
+    more = spark.createDataFrame(rows + [(1000 + k, None) for k in range(40)], "doc_id long, text string").repartition(7)
+    assert {r.doc_id: r.score for r in quality.score(more, got).where("doc_id < 1000").collect()} == one
+
+
 def test_quality_learns(spark):
     rng = random.Random(5)
     d = [(i, " ".join(rng.choice(WORDS) + ("***" if i % 3 == 0 else "") for _ in range(60))) for i in range(900)]
