@@ -53,8 +53,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(rows: list[tuple[np.ndarray, int]], alpha: float, beta: float, l1: float, l2: float, epochs: int) -> np.ndarray:
-    """FTRL-proximal; the last weight is the bias."""
+def learn(rows: list[tuple[tuple[np.ndarray, np.ndarray], int]], alpha: float, beta: float, l1: float, l2: float, epochs: int) -> np.ndarray:
+    """FTRL-proximal over ((distinct places, counts), label); the last weight is the bias."""
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
 
@@ -63,9 +63,8 @@ def learn(rows: list[tuple[np.ndarray, int]], alpha: float, beta: float, l1: flo
 
     for _ in range(epochs):
         for places, y in rows:
-            i, counts = np.unique(places, return_counts=True)
-            i = np.append(i, size - 1)
-            x = np.append(counts * (SCALE / max(1, len(places))), 1.0)
+            i = np.append(places[0], size - 1)
+            x = np.append(places[1] * (SCALE / max(1, places[1].sum())), 1.0)
             w = weights(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
@@ -73,7 +72,7 @@ def learn(rows: list[tuple[np.ndarray, int]], alpha: float, beta: float, l1: flo
     return weights(np.arange(size)).astype(np.float32)
 
 
-EXAMPLE = T.StructType([T.StructField("place", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("features", T.BinaryType())])
+EXAMPLE = T.StructType([T.StructField("place", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("places", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 MODEL = T.StructType([T.StructField("weights", T.BinaryType())])
 
 
@@ -85,14 +84,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
     def make():
         hashes = Hashes()
-        return lambda batch: {"place": batch["place"], "y": batch["y"], "features": [features(t or "", hashes).tobytes() for t in batch["text"].to_pylist()]}
+
+        def step(batch: pa.RecordBatch) -> dict:
+            found = [np.unique(features(t or "", hashes), return_counts=True) for t in batch["text"].to_pylist()]  # 2**BITS places at most
+            return {"place": batch["place"], "y": batch["y"], "places": [p.tobytes() for p, _ in found], "counts": [c.astype(np.int32).tobytes() for _, c in found]}
+
+        return step
 
     examples = map_batches(documents(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "y", "text"), EXAMPLE, make)
 
     def run(batches):
-        rows = [x for b in batches for x in zip(b["place"].to_pylist(), b["y"].to_pylist(), b["features"].to_pylist())]
+        rows = [x for b in batches for x in zip(*(b[c].to_pylist() for c in EXAMPLE.names))]
         rows.sort()
-        model = learn([(np.frombuffer(f, np.int32), y) for _, y, f in rows], alpha, beta, l1, l2, epochs)
+        model = learn([((np.frombuffer(p, np.int32), np.frombuffer(c, np.int32)), y) for _, y, p, c in rows], alpha, beta, l1, l2, epochs)
         yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()], pa.binary())], schema=arrow_schema(MODEL))
 
     got = examples.repartition(1).mapInArrow(run, MODEL).collect()
@@ -107,13 +111,13 @@ def score(docs: DataFrame, weights: np.ndarray, least: float = 0.7) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def make():
-        hashes, w = Hashes(), shared.value
+        hashes, w = Hashes(), shared.value.astype(np.float64)  # so a score doesn't depend on what else is in its slice
 
         def step(batch: pa.RecordBatch) -> dict:
             found = [features(t or "", hashes) for t in batch["text"].to_pylist()]
             dots = np.array([w[f].sum() * (SCALE / len(f)) if len(f) else 0.0 for f in found]) + w[-1]
             scores = 1 / (1 + np.exp(-np.clip(dots, -35, 35)))
-            return {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": scores.astype(float), "predicted": (scores >= least).astype(np.int32)}
+            return {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": scores, "predicted": (scores >= least).astype(np.int32)}
 
         return step
 
