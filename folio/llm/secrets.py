@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import cache
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -118,10 +120,12 @@ def spans_of(text: str, least_bits: float) -> tuple[list[tuple[int, int, int]],
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     covered, most = sorted((a, b) for a, _, b in found), 0.0
+    reach = list(accumulate((b for _, b in covered), max))  # how far the first spans go
     for m in CONTEXT.finditer(text):
         value = m.group(1)
         most = max(most, bits := guess_bits(value))
-        if bits >= least_bits and not any(a < m.end(1) and m.start(1) < b for a, b in covered):
+        before = bisect_left(covered, (m.end(1),))  # spans that begin before the value ends
+        if bits >= least_bits and not (before and reach[before - 1] > m.start(1)):
             found.append((m.start(1), 3, m.end(1)))
     return sorted(found), most
 
