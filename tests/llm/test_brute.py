@@ -343,17 +343,50 @@ def test_mixing(docs, data):
         assert abs(sum(r.taken for r in own) - want[s]) <= 0.05 * want[s] + 20
     assert all(r.taken <= 3 * r.size for r in got)
     assert sorted(map(str, mixing.taken(docs).collect())) == sorted(map(str, got))
+    # Document by document: whole passes, a prefix of the blocks, and the largest that fit of the block where the target falls.
+    rows_of = [(r.doc_id, r.source, r.size, r.place) for r in mixing.sized(docs).collect()]
+    draws = {}
+    for s in order:
+        own = [r for r in rows_of if r[1] == s]
+        n_blocks, total_size = math.ceil(len(own) / mixing.BLOCK), sum(r[2] for r in own)
+        times = int(want[s] // total_size) if total_size else 0
+        rest = round(want[s] - times * total_size)
+        for block in range(n_blocks):
+            here = sorted((r for r in own if int(r[3] * n_blocks) == block), key=lambda r: (-r[2], r[3], r[0]))
+            whole = sum(r[2] for r in here)
+            left = max(0, min(rest, whole))
+            rest -= whole
+            for r in here:
+                fits = 0 < r[2] <= left if left < whole else r[2] > 0
+                left -= r[2] if fits else 0
+                draws[r[0]] = (times if r[2] else 0) + fits
+    assert {r.doc_id: r.taken for r in got} == {r.doc_id: r.size * draws[r.doc_id] for r in got}
+    assert all(len(r.shards) == draws[r.doc_id] for r in mixing.mix(docs, text=True).collect())
+
+
+def test_mixing_in_lots(docs, monkeypatch):
+    one = sorted(map(str, mixing.taken(docs).collect()))
+    monkeypatch.setattr(mixing, "LOT", 2)
+    assert sorted(map(str, mixing.taken(docs).collect())) == one
+    many = mixing.mix(docs, shard_words=200)
+    sent = collections.Counter(s for r in many.collect() for s in r.shards)
+    assert len(sent) > 5 and sum(sent.values()) == mixing.mixed(docs).count()
 
 
 def test_splitting_tree_deals_exactly():
-    quotas = mixing.np.array([17, 0, 240, 3])
-    parts = [mixing.split(quotas, 6, k, 1) for k in range(6)]
-    assert (sum(c for _, c in parts) == quotas).all()
-    for s in range(4):
-        edge = 0
-        for first, count in parts:
-            assert first[s] == edge
-            edge += count[s]
+    np = mixing.np
+    lots = [np.array([17, 0, 240, 3]), np.array([5, 80])]
+    sums = np.array([q.sum() for q in lots])
+    for lot, quotas in enumerate(lots):
+        parts = [mixing.split(sums, lot, quotas, 6, k, 1) for k in range(6)]
+        assert (sum(c for _, c in parts) == quotas).all()
+        for s in range(len(quotas)):
+            edge = 0
+            for first, count in parts:
+                assert first[s] == edge
+                edge += count[s]
+    each = [sum(int(mixing.split(sums, lot, q, 6, k, 1)[1].sum()) for lot, q in enumerate(lots)) for k in range(6)]
+    assert max(each) - min(each) <= 1
 
 
 def test_language(spark):
