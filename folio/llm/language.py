@@ -2,7 +2,9 @@
 
 Four sources of evidence meet in one posterior per document:
 
-* the text: tempered naive Bayes over hashed letter trigrams, learned from about ``sample`` labelled rows;
+* the text: naive Bayes over hashed letter trigrams, learned from about ``sample`` labelled rows, of which the languages with
+  a share of ``least_share`` or more are told apart. Trigrams of one text say much the same, so n of them count
+  as sqrt(n) that are independent: evidence grows with the text, and what is ambiguous or short is left to the priors;
 * the declared language (``<html lang=...>`` in the text, else the declared column), weighed by how often
   declarations agree with texts over the whole corpus;
 * the suffix of the address, and
@@ -31,13 +33,13 @@ from folio.llm.common import DOCUMENT, arrow_schema, conform, cut, fraction, map
 
 BITS = 17
 SAMPLE = 8_000
-TEMPER = 0.25
+LEAST_SHARE = 0.01
 SLICE = 300_000  # bytes of text at once: arrays of this size stay in the cache
 MOST_BROADCAST, SALTS = 100_000, 64
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0
 MARKUP = re.compile("<html", re.IGNORECASE)
 LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.IGNORECASE)
-LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
+LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 @dataclass
@@ -52,7 +54,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t.lower()) for t in texts], np.int64)
     starts = np.cumsum(lengths + 3) - lengths - 3
-    letters = LETTER[np.minimum(codes, 0xFFFF)]
+    letters = LETTER[codes]
     codes = np.where(letters, codes, np.uint32(32))
     h = ((codes[:-2] * np.uint32(0x9E3779B1)) ^ (codes[1:-1] * np.uint32(0x85EBCA6B)) ^ (codes[2:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F)
     used = np.flatnonzero(letters[1:-1])
@@ -67,16 +69,19 @@ def log_likelihoods(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndar
     out = np.zeros((len(texts), len(model.languages)))
     for k in range(len(model.languages)):
         out[:, k] = np.bincount(owner, model.table[h, k], len(texts)) if len(h) else 0.0
-    return TEMPER * out, share
+    n = np.bincount(owner, minlength=len(texts))[:, None]
+    return out / np.sqrt(np.maximum(n, 1)), share
 
 
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.LongType()), T.StructField("counts", T.BinaryType())])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trigram tables from the rows of lowest hash, about ``sample`` of them whatever the input."""
+def train(docs: DataFrame, sample: int = SAMPLE, least_share: float = LEAST_SHARE) -> Model:
+    """Trigram tables from the rows of lowest hash, about ``sample`` of them whatever the input, in 1 / ``least_share`` languages at most."""
     rows = conform(docs, DOCUMENT).select("lang", "text", "doc_id").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.count()
+    labels = cut(rows.groupBy("lang").count())
+    total = labels.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    rows = rows.where(F.col("lang").isin([r["lang"] for r in labels.where(F.col("count") >= F.lit(least_share * total)).collect()]))
     if total > sample:
         rows = rows.where(fraction("doc_id", seed=6) < sample / total)
 
