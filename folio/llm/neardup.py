@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,8 @@ from folio.llm.common import DOCUMENT, arrow_schema, conform, cut, map_batches
 
 KEYS, PER_KEY = 12, 3
 CLUSTER_SHINGLES = 300_000
+SALTS = 32  # tasks that share the rows of one large component
+SPREAD = 8  # and of one hot node or table key
 PRIME_A, PRIME_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -117,6 +119,10 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
     return map_batches(sealed(docs).select("doc_id", "text", "seal"), SIGNED, make)
 
 
+def spread(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SPREAD)).cast("int")
+
+
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, root) of the components of (a, b) links, for nodes that have any; root is the least node.
 
@@ -134,7 +140,8 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
             break
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))  # a hot node is several tasks
+        large = both.where("v > u").withColumn("salt", spread("v")).join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         lesser = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lesser, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
@@ -158,7 +165,8 @@ def clusters(classes: DataFrame) -> DataFrame:
     tables = alive.select("id", F.explode(first).alias("a"), second.alias("bs")).select("id", "a", F.explode("bs").alias("b"))
     tables = tables.select("id", F.xxhash64("a.i", "a.k", "b.i", "b.k").alias("table_key"))
     hubs = tables.groupBy("table_key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("table_key", "hub")
-    met = tables.join(hubs, "table_key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))  # a hot key is several tasks
+    met = tables.withColumn("salt", spread("id")).join(hubs, ["table_key", "salt"]).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     return components(met)
 
 
@@ -245,9 +253,6 @@ def links(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> DataFram
     return dealt.mapInArrow(run, LINK)
 
 
-SALTS = 32
-
-
 def judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, id, seal, n_shingles, component_id, kept for every row."""
     all_rows = cut(signed(docs, n).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("row", F.monotonically_increasing_id()))
