@@ -399,6 +399,20 @@ def test_language(spark):
     assert out[1000].identified == "en" and not out[1001].kept and not out[1002].kept
 
 
+def test_priors_decide_what_is_ambiguous(spark):
+    """Equal texts that say little get the language of their host; texts that say much keep their own."""
+    rng = random.Random(12)
+    said = {"en": "the and with house water over".split(), "fr": "être où garçon maison leçon très".split()}
+    d = [(i, " ".join(rng.choice(said[k]) for _ in range(40)), k, f"host.{k}", 0) for i in range(300) for k in [("en", "fr")[i % 2]]]
+    d += [(1000, "qzk", None, "host.en", 0), (1001, "qzk", None, "host.fr", 0), (1002, "the house and the water", None, "host.fr", 0), (1003, "𐐀𐐁𐐂 𐐃𐐄", None, "host.fr", 0)]
+    d += [(2000 + i, "the house", f"x{i}", "dirty", 0) for i in range(2)]  # rare labels are no languages of their own
+    out = {r.doc_id: r for r in language.identify_documents(spark.createDataFrame(d, "doc_id long, text string, lang string, source string, n_chars long"), ["doc_id"]).collect()}
+    assert [out[i].identified for i in (1000, 1001, 1002)] == ["en", "fr", "en"]
+    assert out[1000].text_lang == out[1001].text_lang  # the text alone can't tell
+    assert out[1003].kept  # letters beyond the first plane are letters
+    assert {r.identified for r in out.values()} == {"en", "fr"}
+
+
 def test_language_with_many_hosts(docs, monkeypatch):
     few = sorted(language.identify_documents(docs, ["doc_id"]).collect(), key=str)
     monkeypatch.setattr(language, "MOST_BROADCAST", 0)
@@ -555,6 +569,75 @@ def test_personal_base(spark, data):
         assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(k == j for _, k, _ in want) for j in range(4)]
 
 
+def test_personal_running_totals(spark):
+    rng = random.Random(3)
+    lists = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 128, 300)]
+    F = personal.F
+    got = spark.createDataFrame([(x,) for x in lists], "x array<int>").select("x", personal.running(F.col("x"), lambda a, b: a + b, 0).alias("sum"), personal.running(F.col("x"), F.greatest, 0).alias("top")).collect()
+    for r in got:
+        assert list(r.sum) == [sum(r.x[: i + 1]) for i in range(len(r.x))]
+        assert list(r.top) == [max(r.x[: i + 1]) for i in range(len(r.x))]
+
+
+def test_votes_estimate_reliability():
+    """Labelers of known reliability vote on things of known truth; expectation-maximisation finds the truth, and the classifier learns it."""
+    rng = random.Random(8)
+    seen, true = collections.Counter(), collections.Counter()
+    reliable = (0.95, 0.85, 0.7)
+    for _ in range(20_000):
+        kind = rng.choice([0, 4, 6])
+        truth = rng.random() < {0: 0.9, 4: 0.5, 6: 0.2}[kind]
+        votes = [int(truth if rng.random() < r else not truth) if rng.random() < 0.9 else None for r in reliable]
+        key = (kind, *votes, rng.randint(0, 3))
+        seen[key] += 1
+        true[key] += truth
+    patterns = sorted(seen.items(), key=str)
+    posterior = personal.estimate(patterns)
+    assert sum((posterior[p] >= 0.5) * true[p] + (posterior[p] < 0.5) * (n - true[p]) for p, n in patterns) / 20_000 > 0.9
+    assert sum(abs(posterior[p] - true[p] / n) * n for p, n in patterns) / 20_000 < 0.06
+    weights = personal.fit(patterns, posterior)
+    told = {p: sum(weights.get(f, 0.0) for f in [None, *personal.features(p)]) >= 0 for p, _ in patterns}
+    assert sum(n for p, n in patterns if told[p] == (posterior[p] >= 0.5)) / 20_000 > 0.95
+
+
+def test_weaker_kinds_are_found(spark):
+    """Recall of every kind over planted spans, and no spans in plain text."""
+    rng = random.Random(5)
+    digit = lambda n: "".join(rng.choice("23456789") for _ in range(n))
+    make = {
+        "email": lambda: f"{rng.choice(WORDS)}@{rng.choice(WORDS)}.com",
+        "ip": lambda: f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.7",
+        "card": lambda: "4111 1111 1111 1111",
+        "phone": lambda: f"+1 (555) {digit(3)}-{digit(4)}",
+        "local_phone": lambda: f"({digit(3)}) {digit(3)}-{digit(4)}",
+        "spelled_email": lambda: f"{rng.choice(WORDS)} [at] {rng.choice(WORDS)} [dot] com",
+        "ssn": lambda: f"{rng.randint(100, 600)}-{digit(2)}-{digit(4)}",
+    }
+    cue = {"email": "mail", "ip": "server", "card": "credit card", "phone": "call", "local_phone": "phone", "spelled_email": "contact", "ssn": "ssn"}
+    texts, planted = [], []
+    for i in range(420):
+        kind = [*make, None, None][i % 9]
+        words = " ".join(rng.choice(WORDS) for _ in range(rng.randint(3, 30)))
+        lead = f"{words} {cue[kind]}: " if kind else words
+        value = make[kind]() if kind else ""
+        texts.append(f"{lead}{value} {rng.choice(WORDS)}")
+        planted.append((kind, len(lead), len(lead) + len(value)))
+    got = {r.doc_id: (r.spans or "").split(",") for r in personal.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for kind in make:
+        own = [i for i, p in enumerate(planted) if p[0] == kind]
+        assert sum(f"{kind}:{planted[i][1]}:{planted[i][2]}" in got[i] for i in own) >= 0.9 * len(own), kind
+    assert all(got[i] == [""] for i, p in enumerate(planted) if p[0] is None)
+
+
+def test_weaker_spans_give_way(spark):
+    d = [(1, "call (212) 555-0100@x.com now"), (2, "card 4111 1111 1111 1111 212-555-0100"), (3, "mail joe [at] x.com@y.org")] + [(i, f"phone (212) 555-01{i} today") for i in range(10, 40)]
+    for r in personal.find(spark.createDataFrame(d, "doc_id long, text string")).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        base = [x for x in spans if x[0] in ("email", "ip", "card", "phone")]
+        assert all(b <= a2 or b2 <= a for k, a, b in spans if (k, a, b) not in base for _, a2, b2 in base)
+        assert r.doc_id < 10 or [x[0] for x in spans] == ["local_phone"]
+
+
 def test_pieces_like_the_library(docs, data):
     import sentencepiece as sp
 
