@@ -87,6 +87,11 @@ def form(kind: str, m: Column) -> Column:
     return F.lit(True) if kind in ("ip", "card", "phone") else F.lit(None).cast("boolean")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running(values: Column, add, zero: int, block: int = 64) -> Column:
     """The running totals of an array of numbers, each with its own value in it.
 
@@ -95,24 +100,24 @@ def running(values: Column, add, zero: int, block: int = 64) -> Column:
     """
     none, first = F.expr("cast(array() as array<int>)"), F.lit(zero).cast("int")
     starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(block))
-    blocks = F.transform(starts, lambda at: F.slice(values, at, block))
+    cut_up = let(values, lambda v: F.transform(starts, lambda at: F.slice(v, at, block)))
     # (last total, totals): the state after a block or a value
     step = lambda a, x: F.struct(add(a["at"], x).cast("int").alias("at"), F.array_append(a["out"], add(a["at"], x).cast("int")).alias("out"))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, first, lambda a, x: add(a, x).cast("int")))
-    after = F.aggregate(sums, F.struct(first.alias("at"), none.alias("out")), step, lambda a: a["out"])
-    before = F.concat(F.array(first), after)
-    inside = F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"]))
-    return F.flatten(inside)
+
+    def within(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, first, lambda a, x: add(a, x).cast("int")))
+        after = F.aggregate(sums, F.struct(first.alias("at"), none.alias("out")), step, lambda a: a["out"])
+        before = F.slice(F.concat(F.array(first), after), 1, F.size(blocks))
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])))
+
+    return let(cut_up, within)
 
 
 def candidates(text: Column, number: int) -> Column:
     """Array of (start, kind, end, votes of the labelers, width) of one kind; positions are code points."""
     kind, pattern, must = KINDS[number]
-    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    widths = F.zip_with(gaps, matches, lambda gap, m: F.length(gap) + F.coalesce(F.length(m), F.lit(0)))
-    ends = running(widths, lambda a, x: a + x, 0)
-    cues = F.transform(gaps, lambda gap: F.lower(F.substring(gap, -40, 40)))
-    joined = F.arrays_zip(ends.alias("end"), matches.alias("m"), cues.alias("near"))
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct((F.length(gap) + F.coalesce(F.length(m), F.lit(0))).alias("width"), m.alias("m"), F.lower(F.substring(gap, -40, 40)).alias("near")))
+    joined = let(pieces, lambda p: F.zip_with(p, running(F.transform(p, lambda x: x["width"]), lambda a, x: a + x, 0), lambda x, end: F.struct(end.alias("end"), x["m"].alias("m"), x["near"].alias("near"))))
     found = F.transform(F.filter(joined, lambda x: x["m"].isNotNull()), lambda x: F.struct((x["end"] - F.length(x["m"])).alias("start"), x["end"].alias("end"), x["m"].alias("m"), x["near"].alias("near")))
     placed = F.filter(found, lambda s: valid(kind, s["m"]))
     vote = lambda c: c.cast("int")
