@@ -3,7 +3,8 @@
 Text is marked as SentencePiece does it (a dummy mark in front, spaces become marks) and cut where
 no piece of the vocabulary can cross. Per slice of documents the *distinct* marked words are sorted,
 which is a depth-first walk of their trie: the stack of forward states of the common prefix with the
-word before is kept and only the new characters are scored.
+word before is kept and only the new characters are scored. A task keeps the ids of ``RECENT`` words at most from one slice to
+the next, so words that come again and again are walked once.
 
 What a forward state is depends on the kind of the model:
 
@@ -24,8 +25,8 @@ import gc
 import hashlib
 import os
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,12 @@ MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # kinds of pieces that matter here
 FLOOR = -1e30
+MOVES = 400_000  # of the automaton that are kept
+RECENT = 300_000  # words whose ids a worker keeps between slices
 
 
 class Vocabulary:
-    """Pieces, scores and kinds; ``bpe`` says which forward state is meant."""
+    """Pieces, scores and kinds; ``bpe`` says which forward state is meant. Ids of words are kept as the bytes of int32 numbers."""
 
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[int], bpe: bool):
         self.pieces, self.bpe = pieces, bpe
@@ -53,60 +56,83 @@ class Vocabulary:
         self.shown = list(pieces)
         for b, i in self.bytes.items():
             self.shown[i] = chr(b if b < 128 else 0xDC00 + b)
-        self.ending = {p[k:]: False for p in self.ids for k in range(len(p))}  # ends of pieces: whether they are pieces
-        self.ending.update(dict.fromkeys(self.ids, True))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.begun = {p[:k] for p in self.ids for k in range(len(p) + 1)} | {""}
+        self.checked: dict[str, dict[str, bool]] = {}  # piece -> piece before it -> whether the two stay
+        self.n_checked = 0
+        self.nodes: dict[str, tuple[list, dict]] = {}
+        self.n_moves = 0
+        self.root = self.node("")
+        self.recent: dict[str, bytes] = {}
         self.penalty = min(self.scores.values(), default=0.0) - 10.0
 
     def of_char(self, c: str) -> list[int]:
         """Ids of a character that is no piece: its bytes, or the unknown piece."""
         return [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
+    def node(self, end: str) -> tuple[list, dict]:
+        """A state of the automaton over all pieces, by the longest end of the text that begins a piece: the pieces that
+        end here, longest first, each with its length and what is known of its neighbours; and the states after it."""
+        if end not in self.nodes:
+            here = [end[k:] for k in range(len(end)) if end[k:] in self.ids]
+            self.nodes[end] = ([(len(p), p, self.checked.setdefault(p, {})) for p in here], {"": end})
+        return self.nodes[end]
+
+    def after(self, node: tuple[list, dict], c: str) -> tuple[list, dict]:
+        end = node[1][""] + c
+        while end not in self.begun:
+            end = end[1:]
+        got = self.node(end)
+        if end:  # characters of no piece are too many to be kept
+            node[1][c] = got
+            self.n_moves += 1
+            if self.n_moves > MOVES:
+                self.nodes, self.n_moves = {}, 0
+        return got
+
     def stays(self, left: str, right: str) -> bool:
         """Whether the merges leave just these two pieces of their concatenation."""
-        if len(self.pairs) > 500_000:
-            self.pairs.clear()
-        got = self.pairs[left, right] = merged(left + right, self.scores) == [x for x in (left, right) if x]
+        if self.n_checked > 500_000:
+            for known in self.checked.values():
+                known.clear()
+            self.n_checked = 0
+        self.n_checked += 1
+        got = self.checked[right][left] = merged(left + right, self.scores) == [x for x in (left, right) if x]
         return got
 
-    def encode_sorted(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+    def encode_sorted(self, words: list[str]) -> dict[str, bytes]:
         """Ids of sorted distinct words; each prefix is scored once."""
         out, before = {}, ""
-        last, score = [""], [0.0]  # by length of the prefix: last piece and (unigram) best sum
-        ids, ending, scores, pairs, bpe, single = self.ids, self.ending, self.scores, self.pairs, self.bpe, self.single
+        # By length of the prefix: last piece, what it is to its neighbour (nothing, if it is no piece), best sum (unigram), state.
+        last, left, score, nodes = [""], [""], [0.0], [self.root]
+        ids, scores, single, bpe = self.ids, self.scores, self.single, self.bpe
         for word in words:
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], score[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                c = word[end - 1]
-                chosen, top, here = c, FLOOR, []
-                for start in range(end - 1, -1, -1):
-                    piece = word[start:end]
-                    whole = ending.get(piece)
-                    if whole is None:
-                        break
-                    if whole:
-                        here.append((start, piece))
+            del last[shared + 1 :], left[shared + 1 :], score[shared + 1 :], nodes[shared + 1 :]
+            node, end = nodes[shared], shared
+            for c in word[shared:]:
+                node = node[1].get(c) or self.after(node, c)
+                end += 1
+                chosen, own, top = c, c if c in single else "", FLOOR
                 if bpe:
-                    for start, piece in reversed(here):
-                        left = last[start]  # a character without a piece merges with nothing
-                        key = (left if left in ids else "", piece)
-                        stays = pairs.get(key)
-                        if stays if stays is not None else self.stays(*key):
-                            chosen = piece
+                    for n, piece, known in node[0]:
+                        stays = known.get(left[end - n])
+                        if stays if stays is not None else self.stays(left[end - n], piece):
+                            chosen = own = piece
                             break
                 else:
-                    for start, piece in here:
-                        if (s := score[start] + scores[piece]) > top:
+                    for n, piece, _ in node[0]:
+                        if (s := score[end - n] + scores[piece]) > top:
                             chosen, top = piece, s
                     if c not in single and (s := score[end - 1] + self.penalty) > top:
                         chosen, top = c, s
                 last.append(chosen)
+                left.append(own)
                 score.append(top)
+                nodes.append(node)
             found, end = [], len(word)
             while end:
                 piece = last[end]
@@ -118,24 +144,31 @@ class Vocabulary:
                     got.append(ids[piece])
                 else:
                     got += self.of_char(piece)
-            out[word] = tuple(got)  # unlike lists, tuples of numbers cost the garbage collector nothing
+            out[word] = array("i", got).tobytes()
             before = word
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, by the distinct words of all of them."""
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, by the distinct words of all of them. Words of texts just before are not encoded again."""
         seen: dict[str, str] = {}
         cut = [list(map(seen.setdefault, words, words)) for words in map(words_of, texts)]  # equal words share one string
         gc.disable()  # nothing here is cyclic, and full collections would walk all words again and again
         try:
-            of = self.encode_sorted(sorted(seen)).__getitem__
-            return [list(chain.from_iterable(map(of, words))) for words in cut]
+            known = {w: ids for w in seen if (ids := self.recent.get(w)) is not None}
+            known.update(self.encode_sorted(sorted(seen.keys() - known.keys())))
+            of = known.__getitem__
+            out = [np.frombuffer(b"".join(map(of, words)), np.int32) for words in cut]
+            if len(self.recent) + len(known) > RECENT:  # those of this slice stay
+                self.recent = known if len(known) <= RECENT else {}
+            else:
+                self.recent.update(known)
+            return out
         finally:
             gc.enable()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """Joins pieces, bytes as UTF-8, and takes the dummy mark away."""
-        text = "".join(map(self.shown.__getitem__, ids))
+        text = "".join(map(self.shown.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         if not text.isascii():  # escaped bytes become what they spell
             text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         return text.replace(MARK, " ")[1:]
@@ -188,11 +221,10 @@ ENCODED = T.StructType(
 )
 
 
-def lists(rows: list[list[int]]) -> pa.Array:
+def lists(rows: list[np.ndarray]) -> pa.Array:
     """A list array without Python boxes on the way."""
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
 
 
 def proof(decoded: str, text: str) -> tuple[str, bool]:
@@ -220,7 +252,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
         return step
 
-    return map_batches(documents(docs).select("doc_id", "text"), ENCODED, make, rows=8192, size=6_000_000)
+    return map_batches(documents(docs).select("doc_id", "text"), ENCODED, make, rows=8192, size=4_000_000)
 
 
 TEXT = T.StructType([DOCUMENT["doc_id"], DOCUMENT["text"]])

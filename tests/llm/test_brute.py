@@ -650,6 +650,17 @@ def test_pieces_like_the_library(docs, data):
     assert all(back[r[0]] == (r[1] or "").replace("▁", " ") for r in data)
 
 
+def test_words_kept_between_slices(data, monkeypatch):
+    v = pieces.Vocabulary(["<unk>", *"▁abcdeilotg", "al", "▁a", "be", "ta", "▁al"], [0.0, *[-20.0 - k for k in range(11)], -1.0, -2.0, -3.0, -4.0, -5.0], [2] + [1] * 16, bpe=True)
+    texts = [(r[1] or "")[:300] for r in data]
+    whole = [x.tolist() for x in v.encode_batch(texts)]
+    for most in (0, 30, 1000):
+        monkeypatch.setattr(pieces, "RECENT", most)
+        v.recent = {}
+        assert [x.tolist() for at in range(0, len(texts), 7) for x in v.encode_batch(texts[at : at + 7])] == whole
+        assert len(v.recent) <= most
+
+
 def test_unigram_viterbi():
     words = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "ca"]
     scores = [-2.0, -3.0, -3.1, -2.9, -4.0, -3.7, -7.5, -3.3, -4.4]
@@ -666,6 +677,7 @@ def test_unigram_viterbi():
 
     words = sorted({"▁" + "".join(x) for k in range(1, 6) for x in product("abc", repeat=k)})
     got = v.encode_sorted(words)
+    got = {w: pieces.np.frombuffer(x, pieces.np.int32).tolist() for w, x in got.items()}
     assert all(sum(v.scores[v.pieces[i]] for i in got[w]) == pytest.approx(sum(v.scores[v.pieces[i]] for i in brute(w))) for w in words)
 
 
