@@ -22,9 +22,10 @@ SQL: dict[str, str] = {}
 
 PX = """px AS (SELECT vec_id AS page_id, i // 8 AS y, i % 8 AS x,
   CAST(least(255, greatest(0, floor((CAST(embedding[i + 1] AS DOUBLE) + 0.5) * 255))) AS BIGINT) AS v FROM embeddings, range(64) t(i))"""
-PXC = """level AS (SELECT vec_id, j, CAST(least(255, greatest(0, floor((CAST(embedding[j + 1] AS DOUBLE) + 0.5) * 255))) AS BIGINT) AS v FROM embeddings, range(64) t(j)),
-  pxc AS (SELECT p.vec_id AS page_id, p.j // 8 AS y, p.j % 8 AS x, p.v AS b, q.v AS g, s.v AS r FROM level p
-  JOIN level q ON q.vec_id = p.vec_id AND q.j = (p.j + 21) % 64 JOIN level s ON s.vec_id = p.vec_id AND s.j = (p.j + 42) % 64)"""
+PXC = """pxc AS (SELECT vec_id AS page_id, j // 8 AS y, j % 8 AS x,
+  CAST(least(255, greatest(0, floor((CAST(embedding[j + 1] AS DOUBLE) + 0.5) * 255))) AS BIGINT) AS b,
+  CAST(least(255, greatest(0, floor((CAST(embedding[(j + 21) % 64 + 1] AS DOUBLE) + 0.5) * 255))) AS BIGINT) AS g,
+  CAST(least(255, greatest(0, floor((CAST(embedding[(j + 42) % 64 + 1] AS DOUBLE) + 0.5) * 255))) AS BIGINT) AS r FROM embeddings, range(64) t(j))"""
 SPREAD = "spr AS (SELECT page_id // 2 AS page_id, y, x + 8 * (page_id % 2) AS x, v FROM px)"
 TEXT = """chars AS (SELECT doc_id, text, length(text) - length(text) % 64 AS n FROM documents),
   pxt AS (SELECT doc_id AS page_id, i // 64 AS y, i % 64 AS x, CAST(least(255, ord(c)) AS BIGINT) AS v
@@ -397,8 +398,12 @@ register("o164_packed_and_back", "SELECT page_id, y, x, v FROM px", PX)(lambda s
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from folio import catalog_more  # registers its own
+
+    return dict(catalog_more.catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from folio import catalog_more
+
+    return dict(catalog_more.catalog.SQL)

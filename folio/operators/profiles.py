@@ -135,3 +135,21 @@ def consensus(candidates: DataFrame, gap: float = 1.5) -> DataFrame:
     groups = candidates.withColumn("island", F.coalesce(island, F.lit(0))).groupBy("page_id", "island").agg(F.count("*").alias("support"), F.sum("weight").alias("weight"), (F.sum(F.col("angle") * F.col("weight")) / F.sum("weight")).alias("angle"), (F.max("angle") - F.min("angle")).alias("wide"))
     best = Window.partitionBy("page_id").orderBy(F.col("support").desc(), F.col("weight").desc(), "wide", "island")
     return groups.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("page_id", "support", "angle")
+
+
+def pca_angle(px: DataFrame, below: int = 128, least: int = 50) -> DataFrame:
+    """(page_id, n, angle in degrees, confidence) of the main axis of the ink; pages of fewer than ``least`` ink pixels have no row."""
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    sums = px.where(F.col("v") < below).groupBy("page_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for c, k in ((x, "sx"), (y, "sy"), (x * x, "sxx"), (y * y, "syy"), (x * y, "sxy"))])
+    n = F.col("n")
+    spread = lambda ab, a, b: F.col(ab) / n - (F.col(a) / n) * (F.col(b) / n)
+    half = F.atan2(2 * spread("sxy", "sx", "sy"), spread("sxx", "sx", "sx") - spread("syy", "sy", "sy")) / 2
+    angle = F.degrees(half)
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    sure = 0.35 * unit(F.log1p(n.cast("double")) / F.log1p(F.lit(20000.0))) * (0.5 + 0.5 * unit((25.0 - F.abs(angle)) / 25.0))
+    return sums.where(n >= least).select("page_id", "n", angle.alias("angle"), sure.alias("confidence"))
+
+
+def lightness_columns(px: DataFrame, light: Column) -> DataFrame:
+    """(page_id, x, mean, deviation) of the lightness of each column (of the population)."""
+    return px.groupBy("page_id", "x").agg(F.avg(light).alias("mean"), F.stddev_pop(light).alias("deviation"))
