@@ -358,8 +358,6 @@ def apply_branches(px: DataFrame, pipeline: list[Operation], width: int, height:
     for name, prefix in named.items():
         px = apply(px, prefix[done:], width, height)
         done = len(prefix)
-        if len(out) + 1 < len(named):
-            px = px.persist()
         out[name] = px
     return out
 
@@ -368,33 +366,70 @@ class NotAvailable(ValueError):
     """An operation, or a method of one, without an operator here."""
 
 
+#: Parameters that :func:`apply` can't honour on exploded pages, by operation and method, with the value that asks for nothing.
+#: :func:`folio.plans.engine.run` honours all of them on packed pages.
+NEUTRAL: dict[tuple[str, str], dict[str, object]] = {
+    ("Despeckle", "Classic"): {"enableDustRemoval": False, "useDilateBeforeCC": False},
+    ("Invert", "Invert hybrid"): {"invertRectPaddingMode": "Auto", "invertInpaintRadiusPx": 0},
+    ("Invert", "Invert by mask"): {"invertInpaintRadiusPx": 0},
+    ("Invert", "Invert by rect mask"): {"invertRectPaddingMode": "Auto", "invertInpaintRadiusPx": 0},
+    ("BordersRemove", "Manual"): {"applyToLeftPage": True, "applyToRightPage": True},
+}
+
+
+def packed(px: DataFrame, o: Operation) -> DataFrame:
+    """An operation that keeps a page's size, on packed pages and back. A page on which it fails stays as it is."""
+    from folio.plans import engine
+
+    return rasters.unpack(engine.run(rasters.pack(px), [o]).select("page_id", "width", "height", "channels", "pixels"))
+
+
 def apply(px: DataFrame, pipeline: list[Operation], width: int, height: int) -> DataFrame:
-    """The pages after all operations that are in the pipeline: one plan, so Catalyst sees them together."""
+    """The pages after all operations that are in the pipeline: one plan, so Catalyst sees them together.
+
+    Raises NotAvailable for a method without an operator on exploded pages, and for a parameter that it can't honour.
+    """
     for o in pipeline:
         if not o.in_pipeline:
             continue
         p = o.parameters
-        match o.type, next(iter(p.values())):
+        method = next(iter(p.values()))
+        for name, neutral in NEUTRAL.get((o.type, method), {}).items():
+            if p[name] != neutral:
+                raise NotAvailable(f"{o.type}, {method}: {name} = {p[name]}")
+        if o.type == "Despeckle" and p["enableDustShapeFilter"] and p["dustMinSolidity"] > 0.05:
+            raise NotAvailable(f"Despeckle, {method}: dustMinSolidity = {p['dustMinSolidity']}")
+        match o.type, method:
             case "BordersRemove", "By Contrast":
                 px = profiles.whiten_borders(px, profiles.contrast_borders(px, width, height, int(p["contrastThr"]), p["threshFrac"], p["maxRemoveFrac"], p["centralSample"]), width, height).select("page_id", "y", "x", "v")
             case "BordersRemove", "Auto":
-                pages = rasters.pack(px).persist()
-                dark = int(p["darkThreshold"]) + 1
-                px = rasters.unpack(masks.paint(pages, regions.edge_touching(components.components(pages, 0, dark), width, height, p["minSpanFraction"]), 255, dark))
+                px = packed(px, o)
             case "Despeckle", "Classic":
-                pages = rasters.pack(px).persist()
+                pages = rasters.pack(px)
                 size = {} if p["smallAreaRelative"] else {"absolute": int(p["smallAreaAbsolutePx"])}
                 aspect = p["dustMaxAspectRatio"] if p["enableDustShapeFilter"] else None
                 gone = regions.specks(components.components(pages), profiles.text_rows(px, width), p["smallAreaMultiplier"], dot_height=p["maxDotHeightFraction"], radius=p["proximityRadiusFraction"], squareness=p["squarenessTolerance"], keep_clusters=p["keepClusters"], max_aspect=aspect, **size)
                 px = rasters.unpack(masks.paint(pages, gone.where("remove")))
+            case "Despeckle", "Effective":
+                px = packed(px, o)
             case "BordersRemove", "Manual":
-                px = points.fill_outside(px, *(int(p[f"manual{s}"]) for s in ("Left", "Top", "Right", "Bottom")), width, height)
+                depths = [int(p[f"manual{s}"]) for s in ("Left", "Top", "Right", "Bottom")]
+                left, top, right, bottom = depths
+                if p["cutMethod"] and width - left - right > 0 and height - top - bottom > 0:
+                    width, height = width - left - right, height - top - bottom
+                    px = points.crop(px, left, top, width, height)
+                elif not p["cutMethod"]:
+                    px = points.fill_outside(px, *depths, width, height)
             case "Binarize", "Threshold":
                 px = points.threshold(px, int(p["threshold"]))
             case "Binarize", "Adaptive":
-                px = areas.adaptive_mean(px, int(p["blockSize"]), p["meanC"])
+                px = packed(px, o) if p["useGaussian"] or p["useMorphology"] else areas.adaptive_mean(px, int(p["blockSize"]), p["meanC"])
             case "Binarize", "Sauvola":
+                if p["sauvolaUseClahe"]:
+                    px = areas.local_equalised(px, width, height, int(p["sauvolaClaheGridSize"]), p["sauvolaClaheClip"])
                 px = areas.sauvola(px, int(p["sauvolaWindowSize"]), p["sauvolaK"], p["sauvolaR"], int(p["pencilStrokeBoost"]))
+                if r := int(p["sauvolaMorphRadius"]):
+                    px = areas.closed(areas.opened(px, r), r)
             case "Binarize", "Majority":
                 px = areas.majority(px, int(p["threshold"]), abs(int(p["majorityOffset"])))
             case "Invert", "Invert whole page":
@@ -408,7 +443,7 @@ def apply(px: DataFrame, pipeline: list[Operation], width: int, height: int) ->
                 e = areas.homomorphic(px, p["retinexSigma"], p["retinexGammaHigh"], p["retinexGammaLow"], p["retinexEps"], p["retinexOutputMode"], p["retinexExpClamp"])
                 px = areas.normalised(e, *((p["retinexPercentLow"], p["retinexPercentHigh"]) if p["retinexRobustNormalize"] else (0, 100)))
             case "LinesRemove", orientation:
-                for axis in {"Horizontal": "y", "Vertical": "x", "Both": "xy"}[orientation]:
+                for axis in {"Horizontal": "y", "Vertical": "x", "Both": "xy"}[orientation]:  # stripes know no width or colour
                     px = profiles.remove_stripes(px, axis, 3.0, 21)
             case "Enhance", "Levels & Gamma":
                 px = areas.levels(px, p["levelsBlackPercent"], p["levelsWhitePercent"], p["levelsGamma"], int(p["levelsTargetWhite"]))
