@@ -129,3 +129,112 @@ register(
         lenient.option(["a", "b", "c"], F.col("event_id") % 7 - 2).alias("chosen"),
     )
 )
+
+# ---- kernels of whole pages
+import math  # noqa: E402
+from collections.abc import Callable, Iterator  # noqa: E402
+
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+
+from folio.kernels import operations as op  # noqa: E402
+from folio.kernels import vision  # noqa: E402
+from folio.kernels.masks import each_page  # noqa: E402
+from folio.plans import engine, presets  # noqa: E402
+
+
+def facts(pages, schema: str, of: Callable[[np.ndarray], list[tuple]]):
+    """Rows told of each gray page: page_id, then what ``of`` returns."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(page, *row) for page, w, h, pixels in zip(b.page_id, b.width, b.height, b.pixels) for row in of(np.frombuffer(pixels, np.uint8).reshape(h, w))]
+            yield pd.DataFrame(rows, columns=names)
+
+    return pages.select("page_id", "width", "height", "pixels").mapInPandas(run, schema)
+
+
+_ANGLES = range(-150, 151, 30)
+
+
+def _sines(degrees: float) -> tuple[int, int]:
+    return round(math.cos(math.radians(degrees)) * 65536), round(math.sin(math.radians(degrees)) * 65536)
+
+
+_TABLE = ", ".join(f"({t}, {_sines(t / 10)[0]}, {_sines(t / 10)[1]})" for t in _ANGLES)
+register(
+    "o041_profile_scores",
+    """SELECT page_id, CAST(tenth AS BIGINT) AS tenth, round((n * sum(c * c) - sum(c) * sum(c)) / (n * n)::DOUBLE, 6) AS score FROM
+    (SELECT page_id, tenth, n, bin, count(*) AS c FROM (SELECT page_id, tenth, n, greatest(0, least(n - 1, CAST(floor(((2 * y - 7) * c - (2 * x - 7) * s + n * 65536) / 131072.0) AS BIGINT))) AS bin
+    FROM px, ang WHERE v < 128) GROUP BY page_id, tenth, n, bin) GROUP BY page_id, tenth, n""",
+    PX,
+    f"ang AS (SELECT tenth, c, s, greatest(1, (abs(s) * 8 + abs(c) * 8 + 32768) // 65536) AS n FROM (VALUES {_TABLE}) t(tenth, c, s))",
+)(lambda spark, d: longs(facts(rasters.packed_gray(spark, d), "page_id bigint, tenth int, score double", lambda v: [(t, op.profile_score(v < 128, t / 10)) for t in _ANGLES] if (v < 128).any() else []), "page_id", "tenth", doubles=("score",)))
+
+_C, _S = _sines(12)
+_N = (abs(_C) * 8 + abs(_S) * 8 + 32768) // 65536
+register(
+    "o048_turned",
+    f"""SELECT page_id, y, x, CAST(((a * (256 - fx) + b * fx) * (256 - fy) + (c * (256 - fx) + e * fx) * fy + 32768) // 65536 AS BIGINT) AS v FROM (SELECT p.page_id, p.y, p.x, fx, fy,
+    coalesce(q1.v, 255) AS a, coalesce(q2.v, 255) AS b, coalesce(q3.v, 255) AS c, coalesce(q4.v, 255) AS e FROM place p
+    LEFT JOIN px q1 ON q1.page_id = p.page_id AND q1.y = p.t AND q1.x = p.l LEFT JOIN px q2 ON q2.page_id = p.page_id AND q2.y = p.t AND q2.x = p.l + 1
+    LEFT JOIN px q3 ON q3.page_id = p.page_id AND q3.y = p.t + 1 AND q3.x = p.l LEFT JOIN px q4 ON q4.page_id = p.page_id AND q4.y = p.t + 1 AND q4.x = p.l + 1)""",
+    PX,
+    f"""raw AS (SELECT vec_id AS page_id, j // {_N} AS y, j % {_N} AS x, (2 * (j % {_N}) + 1 - {_N}) * {_C} - (2 * (j // {_N}) + 1 - {_N}) * {_S} + 458752 AS u,
+    (2 * (j % {_N}) + 1 - {_N}) * {_S} + (2 * (j // {_N}) + 1 - {_N}) * {_C} + 458752 AS w FROM embeddings, range({_N * _N}) t(j)),
+  place AS (SELECT page_id, y, x, CAST(floor(u / 131072.0) AS BIGINT) AS l, CAST(floor(w / 131072.0) AS BIGINT) AS t, CAST(floor((u - floor(u / 131072.0) * 131072) / 512) AS BIGINT) AS fx, CAST(floor((w - floor(w / 131072.0) * 131072) / 512) AS BIGINT) AS fy FROM raw)""",
+)(lambda spark, d: longs(rasters.unpack(each_page(rasters.packed_gray(spark, d), lambda v, row: vision.turned(v, 12))), "page_id", "y", "x", "v"))
+
+register(
+    "o065_median",
+    """SELECT p.page_id, p.y, p.x, list_sort(list(q.v))[5] AS v FROM px p, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)
+    JOIN px q ON q.page_id = p.page_id AND q.y = greatest(0, least(7, p.y + dy)) AND q.x = greatest(0, least(7, p.x + dx)) GROUP BY p.page_id, p.y, p.x""",
+    PX,
+)(lambda spark, d: longs(rasters.unpack(each_page(rasters.packed_gray(spark, d), lambda v, row: vision.median(v))), "page_id", "y", "x", "v"))
+
+register(
+    "o070_distance",
+    """SELECT p.page_id, p.y, p.x, round(sqrt(least(16, least((p.y + 1) * (p.y + 1), (8 - p.y) * (8 - p.y), (p.x + 1) * (p.x + 1), (8 - p.x) * (8 - p.x)), coalesce(min((q.y - p.y) * (q.y - p.y) + (q.x - p.x) * (q.x - p.x)), 99))), 6) AS far
+    FROM px p LEFT JOIN px q ON q.page_id = p.page_id AND q.v >= 128 WHERE p.v < 128 GROUP BY p.page_id, p.y, p.x""",
+    PX,
+)(lambda spark, d: longs(facts(rasters.packed_gray(spark, d), "page_id bigint, y int, x int, far double", lambda v: [(y, x, f) for y, x, f in zip(*np.nonzero(v < 128), vision.distance(np.pad(v < 128, 8), 4)[8:-8, 8:-8][v < 128])]), "page_id", "y", "x", doubles=("far",)))
+
+_SPLIT = """cols AS (SELECT page_id, x, sum(CAST(v < 128 AS INT))::DOUBLE AS c, avg(v) AS m, stddev_pop(v) AS s, count(*) OVER (PARTITION BY page_id) AS w FROM spr GROUP BY page_id, x),
+  run AS (SELECT *, avg(c) OVER (PARTITION BY page_id ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near, sum(c) OVER (PARTITION BY page_id ORDER BY x) AS lft, sum(c) OVER (PARTITION BY page_id) AS total FROM cols),
+  band AS (SELECT *, median(near) OVER (PARTITION BY page_id) AS mid, min(m) OVER (PARTITION BY page_id) AS m0, max(m) OVER (PARTITION BY page_id) AS m1, min(s) OVER (PARTITION BY page_id) AS s0, max(s) OVER (PARTITION BY page_id) AS s1 FROM run WHERE x BETWEEN 4 AND 11 AND w = 16),
+  score AS (SELECT page_id, x, 0.60 * greatest(0, 1 - 2.5 * abs(x - 7.5) / 7) + 0.20 * CASE WHEN mid > 0 THEN 1 - least(1, near / mid) ELSE 0 END + 0.15 * CASE WHEN total > 0 THEN 1 - least(1, abs(2 * lft - total) / total) ELSE 0.5 END
+   + 0.03 * CASE WHEN m1 - m0 > 1e-6 THEN (m - m0) / (m1 - m0) ELSE 0.5 END + 0.02 * CASE WHEN s1 - s0 > 1e-6 THEN 1 - (s - s0) / (s1 - s0) ELSE 0.5 END AS score FROM band)"""
+
+
+def _split_scores(v: np.ndarray) -> list[tuple]:
+    if v.shape[1] != 16:
+        return []
+    columns = (v < 128).sum(0).astype(float)
+    return [(x, s) for x, s in enumerate(op.split_scores(columns, op.running_mean(columns, 3), v.mean(0), v.std(0), 4, 11).tolist(), 4)]
+
+
+register("o118_split_scores", "SELECT page_id, x, round(score, 6) AS score FROM score", PX, catalog.SPREAD, _SPLIT)(
+    lambda spark, d: longs(facts(rasters.pack(rasters.spreads(spark, d)), "page_id bigint, x int, score double", _split_scores), "page_id", "x", doubles=("score",))
+)
+
+
+# ---- pipelines over whole texts as pages: one pass, nothing shuffled; no SQL, tests hold the kernels
+def engine_query(name: str, *operations: tuple[str, dict]) -> None:
+    def query(spark, d):
+        done = engine.run(rasters.packed_texts(spark, d), [presets.Operation(kind, given=given) for kind, given in operations])
+        return done.select("page_id", "part", "width", "height", "channels", F.sha2("pixels", 256).alias("pixels_sha256"), "operation", "error")
+
+    register(name, None)(query)
+
+
+engine_query("o017_binarize_adaptive", ("Binarize", {"method": "Adaptive", "blockSize": 9, "useGaussian": True, "useMorphology": True}))
+engine_query("o022_sauvola_equalised", ("Binarize", {"method": "Sauvola", "sauvolaWindowSize": 9, "sauvolaMorphRadius": 1}))
+engine_query("o038_deskew_projection", ("Deskew", {"deskewAlgorithm": "Projection", "projCoarseStep": 3.0, "projRefineStep": 1.0}))
+engine_query("o055_contour_borders", ("BordersRemove", {"borderRemovalAlgorithm": "By Contours"}))
+engine_query("o057_integral_borders", ("BordersRemove", {"borderRemovalAlgorithm": "Integral"}))
+engine_query("o076_classic_specks", ("Despeckle", {"enableDustRemoval": True, "enableDustShapeFilter": True}))
+engine_query("o085_effective_specks", ("Despeckle", {"despeckleMethod": "Effective"}))
+engine_query("o100_punch_holes", ("PunchHolesRemove", {"punchShape": "Rect", "width": 3, "height": 2, "leftOffset": 16, "rightOffset": 16, "topOffset": 4, "bottomOffset": 4, "fillRatio": 0.6}))
+engine_query("o123_auto_split", ("SplitPage", {"splitMethod": "Auto"}))
+engine_query("o156_default_pipeline", ("BordersRemove", {}), ("Binarize", {}))

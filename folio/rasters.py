@@ -1,8 +1,8 @@
 """Pages as data.
 
 Two shapes of a page: *packed*, one row with its pixels as bytes, for kernels and sinks; and *exploded*, one row a pixel
-(page_id, y, x, v), for everything that SQL can say. Exploded pages are partitioned by page, so that the windows
-and sums of a chain of operators share one exchange.
+(page_id, y, x, v), for everything that SQL can say. A window or sum over exploded pages is an exchange of its own, by page and row
+or column; whole pages of scans belong into the kernels, which shuffle nothing.
 """
 
 from __future__ import annotations
@@ -56,6 +56,15 @@ def packed_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page_id"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.lit(1).alias("channels"), F.unhex(hexed).alias("pixels"))
 
 
+def packed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as packed pages 64 wide, without a shuffle: a byte a character (others than Latin-1 are question marks), the last row filled with white."""
+    text = F.col("text")
+    height = F.ceil(F.length(text) / TEXT_WIDTH).cast("int")
+    pixels = F.encode(F.rpad(text, height * TEXT_WIDTH, F.lit("\u00ff")), "ISO-8859-1")
+    rows = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    return rows.select(F.col("doc_id").alias("page_id"), F.lit(TEXT_WIDTH).alias("width"), height.alias("height"), F.lit(1).alias("channels"), pixels.alias("pixels"))
+
+
 def pack(px: DataFrame) -> DataFrame:
     """Exploded gray pages, packed; one exchange by page."""
     rows = px.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p"), (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
