@@ -322,10 +322,26 @@ register("o105_overlaps", """SELECT p.page_id, p.label AS box_id, q.label AS oth
   LATERAL (SELECT greatest(0, least(p.r, q.r) - greatest(p.l, q.l)) * greatest(0, least(p.b, q.b) - greatest(p.t, q.t)) AS i) WHERE i > 0""", "RECURSIVE " + PX, LABELS, BOXES)(
     lambda spark, d: longs(regions.overlaps(boxes(spark, d)), "page_id", "box_id", "other_id", "inter", doubles=("iou",))
 )
-register("o105_suppressed", None)(lambda spark, d: masks.suppressed(boxes(spark, d), 0.2))
-register("o089_invert_dark", None)(lambda spark, d: longs(rasters.unpack(masks.invert_dark(rasters.packed_gray(spark, d), "mask", below=110)), "page_id", "y", "x", "v"))
-register("o090_invert_rect", None)(lambda spark, d: longs(rasters.unpack(masks.invert_dark(rasters.packed_gray(spark, d), "rect", below=110)), "page_id", "y", "x", "v"))
-register("o091_invert_hybrid", None)(lambda spark, d: longs(rasters.unpack(masks.invert_dark(rasters.packed_gray(spark, d), "hybrid", below=110)), "page_id", "y", "x", "v"))
+NMS = """ranked AS (SELECT page_id, label AS box_id, l AS x, t AS y, r - l AS w, b - t AS h, row_number() OVER (PARTITION BY page_id ORDER BY (r - l) * (b - t) DESC, label) AS nth FROM bx),
+  nms AS (SELECT page_id, 1 AS nth, [{'i': box_id, 'x': x, 'y': y, 'w': w, 'h': h}] AS kept FROM ranked WHERE nth = 1
+   UNION ALL SELECT n.page_id, n.nth + 1, CASE WHEN list_bool_or([greatest(0, least(k.x + k.w, q.x + q.w) - greatest(k.x, q.x)) * greatest(0, least(k.y + k.h, q.y + q.h) - greatest(k.y, q.y))
+     > 0.2 * (k.w * k.h + q.w * q.h - greatest(0, least(k.x + k.w, q.x + q.w) - greatest(k.x, q.x)) * greatest(0, least(k.y + k.h, q.y + q.h) - greatest(k.y, q.y))) FOR k IN n.kept])
+     THEN n.kept ELSE list_append(n.kept, {'i': q.box_id, 'x': q.x, 'y': q.y, 'w': q.w, 'h': q.h}) END FROM nms n JOIN ranked q ON q.page_id = n.page_id AND q.nth = n.nth + 1),
+  last AS (SELECT page_id, unnest(arg_max(kept, nth)) AS k FROM nms GROUP BY page_id)"""
+register("o105_suppressed", "SELECT page_id, CAST(k.i AS BIGINT) AS box_id, CAST(k.x AS BIGINT) AS x, CAST(k.y AS BIGINT) AS y, CAST(k.w AS BIGINT) AS w, CAST(k.h AS BIGINT) AS h FROM last", "RECURSIVE " + PX, LABELS, BOXES, NMS)(lambda spark, d: masks.suppressed(boxes(spark, d), 0.2))
+DARK = """large AS (SELECT page_id, label FROM bx WHERE area >= 1.28),
+  own AS (SELECT cc.page_id, label, y, x FROM cc JOIN m USING (page_id, id) JOIN large USING (page_id, label)),
+  flood AS (SELECT page_id, label, -1::BIGINT AS y, -1::BIGINT AS x FROM large
+   UNION SELECT f.page_id, f.label, f.y + dy, f.x + dx FROM flood f, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(dy, dx) WHERE f.y + dy BETWEEN -1 AND 8 AND f.x + dx BETWEEN -1 AND 8
+   AND NOT EXISTS (SELECT 1 FROM own o WHERE o.page_id = f.page_id AND o.label = f.label AND o.y = f.y + dy AND o.x = f.x + dx)),
+  wide AS (SELECT page_id, label, min(y) AS t, max(y) AS b FROM (SELECT page_id, label, y, count(*) AS n, max(count(*)) OVER (PARTITION BY page_id, label) AS most FROM own GROUP BY page_id, label, y) WHERE n >= most * 0.65 GROUP BY page_id, label),
+  high AS (SELECT page_id, label, min(x) AS l, max(x) AS r FROM (SELECT page_id, label, x, count(*) AS n, max(count(*)) OVER (PARTITION BY page_id, label) AS most FROM own GROUP BY page_id, label, x) WHERE n >= most * 0.65 GROUP BY page_id, label),
+  dark AS (SELECT px.page_id, px.y, px.x, px.v, w.label IS NOT NULL AND f.label IS NULL AS filled, coalesce(px.y BETWEEN t AND b AND px.x BETWEEN l AND r, false) AS boxed FROM px
+   LEFT JOIN wide w ON w.page_id = px.page_id LEFT JOIN high h ON h.page_id = w.page_id AND h.label = w.label
+   LEFT JOIN flood f ON f.page_id = px.page_id AND f.label = w.label AND f.y = px.y AND f.x = px.x)"""
+register("o089_invert_dark", "SELECT page_id, y, x, CASE WHEN bool_or(filled) THEN 255 - v ELSE v END AS v FROM dark GROUP BY page_id, y, x, v", "RECURSIVE " + PX, LABELS, BOXES, DARK)(lambda spark, d: longs(rasters.unpack(masks.invert_dark(rasters.packed_gray(spark, d), "mask", below=110)), "page_id", "y", "x", "v"))
+register("o090_invert_rect", "SELECT page_id, y, x, CASE WHEN bool_or(boxed) THEN 255 - v ELSE v END AS v FROM dark GROUP BY page_id, y, x, v", "RECURSIVE " + PX, LABELS, BOXES, DARK)(lambda spark, d: longs(rasters.unpack(masks.invert_dark(rasters.packed_gray(spark, d), "rect", below=110)), "page_id", "y", "x", "v"))
+register("o091_invert_hybrid", "SELECT page_id, y, x, CASE WHEN bool_or(filled AND boxed) THEN 255 - v ELSE v END AS v FROM dark GROUP BY page_id, y, x, v", "RECURSIVE " + PX, LABELS, BOXES, DARK)(lambda spark, d: longs(rasters.unpack(masks.invert_dark(rasters.packed_gray(spark, d), "hybrid", below=110)), "page_id", "y", "x", "v"))
 register(
     "o104_decode_boxes",
     """SELECT page_id, CAST(floor(x - lx) AS BIGINT) AS x, CAST(floor(y - ty) AS BIGINT) AS y, CAST(floor(rx - (x - lx)) AS BIGINT) AS w, CAST(floor(by_ - (y - ty)) AS BIGINT) AS h FROM

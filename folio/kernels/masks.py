@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,11 @@ def each_page(pages: DataFrame, change: Callable[[np.ndarray, pd.Series], np.nda
             for row in b.itertuples(index=False):
                 w, h, pixels = row.width, row.height, row.pixels
                 if row.channels == 1 and pixels:
-                    new = change(np.frombuffer(pixels, np.uint8).reshape(h, w), row)
-                    (h, w), pixels = new.shape, np.ascontiguousarray(new, np.uint8).tobytes()
+                    try:
+                        new = np.ascontiguousarray(change(np.frombuffer(pixels, np.uint8).reshape(h, w), row), np.uint8)
+                        (h, w), pixels = new.shape, new.tobytes()
+                    except (ValueError, IndexError, TypeError):  # a damaged page; :mod:`folio.plans.engine` tells what went wrong
+                        pass
                 out.append((row.page_id, w, h, row.channels, pixels))
             yield pd.DataFrame(out, columns=["page_id", "width", "height", "channels", "pixels"])
 
@@ -96,23 +100,50 @@ def crop_to(pages: DataFrame, boxes: DataFrame) -> DataFrame:
     return each_page(pages.join(boxes.select("page_id", "x", "y", "w", "h"), "page_id", "left"), change, "x", "y", "w", "h")
 
 
+def kept_boxes(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, most: float) -> np.ndarray:
+    """Which of boxes in their order are kept: a box goes if it overlaps a kept one by more than ``most``."""
+    size, left, out = w * h, np.arange(len(x)), np.zeros(len(x), bool)
+    while len(left):
+        top, left = left[0], left[1:]
+        out[top] = True
+        wide = np.minimum(x[left] + w[left], x[top] + w[top]) - np.maximum(x[left], x[top])
+        high = np.minimum(y[left] + h[left], y[top] + h[top]) - np.maximum(y[left], y[top])
+        inter = np.maximum(wide, 0) * np.maximum(high, 0)
+        left = left[inter <= most * (size[left] + size[top] - inter)]
+    return out
+
+
 def suppressed(boxes: DataFrame, most: float = 0.4) -> DataFrame:
-    """Boxes left by suppression: the larger first, then the lower box_id; what overlaps a kept one by more than ``most`` goes. One page's boxes make one group."""
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.assign(size=b.w * b.h).sort_values(["size", "box_id"], ascending=[False, True])
-        left, kept = b, []
-        while len(left):
-            top = left.iloc[0]
-            kept.append(top.box_id)
-            w = np.minimum(left.x + left.w, top.x + top.w) - np.maximum(left.x, top.x)
-            h = np.minimum(left.y + left.h, top.y + top.h) - np.maximum(left.y, top.y)
-            inter = np.maximum(w, 0) * np.maximum(h, 0)
-            left = left[(inter / (left["size"] + top["size"] - inter) <= most) & (left.box_id != top.box_id)]
-        return b[b.box_id.isin(kept)][["page_id", "box_id", "x", "y", "w", "h"]]
-
-    cols = "page_id bigint, box_id bigint, x bigint, y bigint, w bigint, h bigint"
-    return boxes.selectExpr(*[f"cast({c.split()[0]} as bigint) {c.split()[0]}" for c in cols.split(", ")]).groupBy("page_id").applyInPandas(run, cols)
+    """Boxes left by suppression: the larger first, then the lower box_id; what overlaps a kept one by more than ``most`` goes.
+
+    One exchange by page; a task reads its pages one after another and holds the boxes of one page.
+    """
+    names = ["page_id", "box_id", "x", "y", "w", "h"]
+    schema = pa.schema([(c, pa.int64()) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # the rows of the page that may go on
+        for b in batches:
+            rows = np.stack([b[c].to_numpy(zero_copy_only=False) for c in names], 1)
+            edges = np.flatnonzero(np.diff(rows[:, 0])) + 1
+            parts = np.split(rows, edges)
+            if held and len(rows) and held[-1][-1, 0] == rows[0, 0]:
+                parts[0] = np.concatenate([*held, parts[0]])
+            elif held:
+                parts.insert(0, np.concatenate(held))
+            held = [parts.pop()] if len(rows) else held
+            if parts:
+                yield told(parts)
+        if held:
+            yield told([np.concatenate(held)])
+
+    def told(pages: list[np.ndarray]) -> pa.RecordBatch:
+        left = np.concatenate([p[kept_boxes(*p[:, 2:].T, most)] for p in pages if len(p)] or [np.empty((0, 6), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in left.T], schema=schema)
+
+    rows = boxes.select(*[F.col(c).cast("bigint").alias(c) for c in names]).where("page_id is not null")
+    order = rows.repartition("page_id").sortWithinPartitions("page_id", (F.col("w") * F.col("h")).desc(), "box_id")
+    return order.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def seams(pages: DataFrame, band: tuple[float, float] = (0.4, 0.6)) -> DataFrame:

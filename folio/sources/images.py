@@ -204,10 +204,14 @@ def lzw(data: bytes) -> bytes:
 
 def from_lzw(data: bytes) -> bytes:
     out, at, width, table, last = bytearray(), 0, 9, [], b""
-    whole, total = int.from_bytes(data, "big"), len(data) * 8
-    while at + width <= total:
-        code = whole >> total - at - width & (1 << width) - 1
-        at += width
+    held, bits = 0, 0  # bits that are read and not yet used
+    while True:
+        while bits < width and at < len(data):
+            held, bits, at = held << 8 | data[at], bits + 8, at + 1
+        if bits < width:
+            break
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
         if code == 257:
             break
         if code == 256:
