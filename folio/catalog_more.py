@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folio import catalog, rasters
 from folio.catalog import FILES, PX, PXC, files, longs, register
 from folio.functions import lenient
-from folio.operators import colours, profiles
+from folio.operators import colours, profiles, regions
 from folio.sources import batch
 
 # ---- colour
@@ -138,7 +138,7 @@ import numpy as np  # noqa: E402
 import pandas as pd  # noqa: E402
 
 from folio.kernels import operations as op  # noqa: E402
-from folio.kernels import vision  # noqa: E402
+from folio.kernels import masks, vision  # noqa: E402
 from folio.kernels.masks import each_page  # noqa: E402
 from folio.plans import engine, presets  # noqa: E402
 
@@ -238,3 +238,13 @@ engine_query("o085_effective_specks", ("Despeckle", {"despeckleMethod": "Effecti
 engine_query("o100_punch_holes", ("PunchHolesRemove", {"punchShape": "Rect", "width": 3, "height": 2, "leftOffset": 16, "rightOffset": 16, "topOffset": 4, "bottomOffset": 4, "fillRatio": 0.6}))
 engine_query("o123_auto_split", ("SplitPage", {"splitMethod": "Auto"}))
 engine_query("o156_default_pipeline", ("BordersRemove", {}), ("Binarize", {}))
+
+register("o009_downscaled", "SELECT page_id, y // 2 AS y, x // 2 AS x, CAST(round_even(avg(v), 0) AS BIGINT) AS v FROM px GROUP BY page_id, y // 2, x // 2", PX)(
+    lambda spark, d: longs(rasters.unpack(each_page(rasters.packed_gray(spark, d), lambda v, row: vision.reduced(v, 4))), "page_id", "y", "x", "v")
+)
+register(
+    "o108_confirmed",
+    r"""SELECT conv_id, turn, (sure >= 50 AND n >= 3 AND share >= 0.5) OR (sure >= 30 AND n >= 1 AND share >= 0.9) AS confirmed FROM (SELECT conv_id, turn, sure, n, CASE WHEN seen > 0 THEN n / seen::DOUBLE ELSE 0 END AS share FROM
+    (SELECT conv_id, turn, (conv_id * 37 + turn * 13) % 100 AS sure, length(regexp_replace(trim(coalesce(text, '')), '[^\p{L}\p{N}]', '', 'g')) AS n, length(regexp_replace(trim(coalesce(text, '')), '[\p{Cc}\s]', '', 'g')) AS seen FROM conversations))""",
+)(lambda spark, d: regions.confirmed(rasters.table(spark, d, "conversations").withColumn("sure", (F.col("conv_id") * 37 + F.col("turn") * 13) % 100)).select("conv_id", "turn", "confirmed"))
+register("o110_merged_boxes", None)(lambda spark, d: masks.merged(catalog.boxes(spark, d), 0, 0.1, 0.0))

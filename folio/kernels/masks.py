@@ -176,3 +176,50 @@ def seams(pages: DataFrame, band: tuple[float, float] = (0.4, 0.6)) -> DataFrame
             yield pd.DataFrame(out, columns=["page_id", "split_x", "cost"])
 
     return pages.select("page_id", "width", "height", "channels", "pixels").mapInPandas(run, "page_id bigint, split_x bigint, cost bigint")
+
+
+def merged_boxes(rows: list[tuple[int, int, int, int]], gap: int, overlap: float, centre: float) -> list[tuple[int, int, int, int]]:
+    """(x, y, w, h) boxes joined into their common box while two are nearer than ``gap``, overlap by ``overlap`` of their union, or have centres
+    within ``centre``; the result, in order, doesn't depend on the order they came in.
+
+    In each round all boxes that hang together are joined at once, so rounds are few; a round compares boxes within sorted windows.
+    """
+    left = sorted(set(rows))
+    while True:
+        up = list(range(len(left)))
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        widest = max((w for _, _, w, _ in left), default=0)
+        for i, (x, y, w, h) in enumerate(left):
+            for j in range(i + 1, len(left)):
+                x2, y2, w2, h2 = left[j]
+                if x2 - x > max(widest + gap, centre + widest):
+                    break
+                dx, dy = max(0, x2 - x - w, x - x2 - w2), max(0, y2 - y - h, y - y2 - h2)
+                inter = max(0, min(x + w, x2 + w2) - max(x, x2)) * max(0, min(y + h, y2 + h2) - max(y, y2))
+                far = np.hypot(x + w / 2 - x2 - w2 / 2, y + h / 2 - y2 - h2 / 2)
+                if (dx <= gap and dy <= gap) or inter > overlap * (w * h + w2 * h2 - inter) or far <= centre:
+                    a, b = root(i), root(j)
+                    up[max(a, b)] = min(a, b)
+        groups: dict[int, list] = {}
+        for i, box in enumerate(left):
+            groups.setdefault(root(i), []).append(box)
+        new = sorted({(min(b[0] for b in g), min(b[1] for b in g), max(b[0] + b[2] for b in g) - min(b[0] for b in g), max(b[1] + b[3] for b in g) - min(b[1] for b in g)) for g in groups.values()})
+        if new == left:
+            return left
+        left = new
+
+
+def merged(boxes: DataFrame, gap: int = 10, overlap: float = 0.1, centre: float = 0.0) -> DataFrame:
+    """(page_id, x, y, w, h): near boxes of each page joined, until none are near. A page's boxes make one group."""
+    cols = "page_id bigint, x bigint, y bigint, w bigint, h bigint"
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        rows = merged_boxes(list(zip(b.x.tolist(), b.y.tolist(), b.w.tolist(), b.h.tolist())), gap, overlap, centre)
+        return pd.DataFrame([(b.page_id.iloc[0], *r) for r in rows], columns=["page_id", "x", "y", "w", "h"])
+
+    return boxes.select(*[F.col(c).cast("bigint").alias(c) for c in ("page_id", "x", "y", "w", "h")]).groupBy("page_id").applyInPandas(run, cols)

@@ -306,3 +306,20 @@ def equalised(v: np.ndarray, clip: float, grid: int) -> np.ndarray:
     fy, fx = (ty - y0)[:, None], (tx - x0)[None, :]
     at = lambda dy, dx: curve[np.clip(y0 + dy, 0, grid - 1)[:, None], np.clip(x0 + dx, 0, grid - 1)[None, :], v]
     return saturate((at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy)
+
+
+def reduced(v: np.ndarray, width: int) -> np.ndarray:
+    """A page brought down to a width by the mean of the area that falls on each pixel; pages that are not wider stay."""
+    h, w = v.shape[:2]
+    if not 0 < width < w:
+        return v
+    height = max(1, round(h * width / w))
+    out = v.astype(np.float64)
+    for axis, n, m in ((0, h, height), (1, w, width)):
+        total = np.concatenate([np.zeros_like(out.take([0], axis)), out.cumsum(axis)], axis)
+        at = np.arange(m + 1) * n / m
+        low = np.minimum(at.astype(int), n - 1)
+        share = (at - low).reshape([-1 if k == axis else 1 for k in range(out.ndim)])
+        edge = total.take(low, axis) + share * (total.take(low + 1, axis) - total.take(low, axis))
+        out = np.diff(edge, axis=axis) * (m / n)
+    return saturate(np.round(out, 6))

@@ -117,3 +117,14 @@ def overlaps(boxes: DataFrame) -> DataFrame:
     both = pairs.where((w > 0) & (h > 0)).withColumn("inter", w * h)
     union = F.col("a.w") * F.col("a.h") + F.col("b.w") * F.col("b.h") - F.col("inter")
     return both.select(F.col("a.page_id").alias("page_id"), F.col("a.box_id").alias("box_id"), F.col("b.box_id").alias("other_id"), "inter", (F.col("inter") / union).alias("iou")).distinct()
+
+
+def confirmed(read: DataFrame, least_sure: float = 50, least_count: int = 3, least_share: float = 0.5) -> DataFrame:
+    """Boxes whose recognised ``text`` (with its confidence ``sure``, 0..100) is writing: sure enough with enough letters and digits, by number and by share of
+    what is visible; or, as short numbers are, at 30 with nine tenths of them."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    count = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+    seen = F.length(F.regexp_replace(text, r"[\p{Cc}\s]", ""))
+    share = F.when(seen > 0, count / seen).otherwise(0.0)
+    passed = ((F.col("sure") >= least_sure) & (count >= least_count) & (share >= least_share)) | ((F.col("sure") >= 30) & (count >= 1) & (share >= 0.9))
+    return read.withColumn("confirmed", passed)

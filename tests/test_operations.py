@@ -296,3 +296,20 @@ def test_dark_areas():
         assert out[30, 60] == 240 and out[42, 60] == 25 and out[100, 140] == 220, method
     assert op.inverted_dark(v, "rect", pads=(5, 5, 5, 5))[18, 60] == 255 - 220
     assert op.inverted_dark(v, "mask", repair=2).shape == v.shape
+
+
+def test_downscaling():
+    rng = np.random.default_rng(9)
+    v = rng.integers(0, 256, (9, 12), dtype=np.uint8)
+    out = vision.reduced(v, 4)
+    assert out.shape == (3, 4) and out[1, 2] == round(float(v[3:6, 6:9].mean()))
+    assert vision.reduced(v, 12) is v and vision.reduced(page(10, 7, 9, 3), 3).tolist() == page(4, 3, 9, 3).tolist()
+
+
+def test_merging_boxes():
+    from folio.kernels.masks import merged_boxes
+
+    rows = [(0, 0, 5, 5), (7, 0, 5, 5), (30, 30, 4, 4), (31, 31, 4, 4), (15, 2, 2, 2)]
+    assert merged_boxes(rows, 3, 0.9, 0.0) == merged_boxes(rows[::-1], 3, 0.9, 0.0) == [(0, 0, 17, 5), (30, 30, 5, 5)]
+    assert merged_boxes(rows, 0, 0.3, 0.0) == sorted([*rows[:2], (30, 30, 5, 5), rows[4]])
+    assert merged_boxes([], 3, 0.1, 0.0) == []
