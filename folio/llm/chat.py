@@ -12,7 +12,9 @@ texts of a long conversation. The result is a row for each part: the renderings
 and joined, are its rendering; all but giant conversations have one part.
 
 Null or unknown roles may take any role at a small cost. Null texts render as empty. Null turns come first; turns
-of equal number are ordered by role and text. Null conv_ids are one conversation. ``<|`` in texts is written ``< |``.
+of equal number are ordered by role and text. A turn of null conv_id belongs to nothing: it is a conversation of its own, repaired where it
+is, so however many there are, no task gathers them. ``<|`` in texts is written ``< |``. Repeated rows are turns of their own; the empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -173,7 +175,8 @@ def batched(rows: Iterator[tuple], schema: T.StructType, size: int = 500) -> Ite
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """One row per conversation part: how it was repaired and its rendering."""
-    rows = conform(turns, TURN).withColumn("part", F.floor(F.coalesce("turn", F.lit(0)) / PART).cast("long"))
+    every = conform(turns, TURN)
+    rows = every.where("conv_id is not null").withColumn("part", F.floor(F.coalesce("turn", F.lit(0)) / PART).cast("long"))
     order = ["conv_id", "part", "turn", "role"]
 
     def stretches(batches):
@@ -194,18 +197,32 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         return batched(each(), EDGE, 5000)
 
     known = chained.mapInArrow(edges, EDGE)
-    placed = rows.join(known, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("of_part"))).drop("conv", "of_part")
+    placed = rows.join(known, (F.col("conv_id") == F.col("conv")) & (F.col("part") == F.col("of_part"))).drop("conv", "of_part")
+
+    def told(conv: int | None, part: int, roles: list[int], texts: list[str | None], start: int, end: int, last: bool) -> tuple:
+        ways = repair(roles, start, end)
+        ending = ENDS[end][1] if last else ()
+        counts = [sum(w[3] == a for w in ways) for a in ACTIONS]
+        counts[3] += len(ending)
+        return conv, part, len(roles), sum(w[0] for w in ways) + INSERT * len(ending), *counts, render(ways, texts, ending)
+
+    def lone(batches):
+        def each():
+            for batch in batches:
+                for turn, name, text in zip(*(batch[c].to_pylist() for c in ("turn", "role", "text"))):
+                    role = role_of(name)
+                    _, (start, end) = chain([matrix([role])])
+                    yield told(None, (turn or 0) // PART, [role], [text], start, end, True)
+
+        return batched(each(), FORMATTED)
 
     def formatted(batches):
         def each():
             for (conv, part), group in grouped(batches, ("conv_id", "part"), ("role", "text", "start", "end", "last")):
                 start, end, last = group[0][2:]
-                ways = repair([role_of(g[0]) for g in group], start, end)
-                ending = ENDS[end][1] if last else ()
-                counts = [sum(w[3] == a for w in ways) for a in ACTIONS]
-                counts[3] += len(ending)
-                yield conv, part, len(group), sum(w[0] for w in ways) + INSERT * len(ending), *counts, render(ways, [g[1] for g in group], ending)
+                yield told(conv, part, [role_of(g[0]) for g in group], [g[1] for g in group], start, end, last)
 
         return batched(each(), FORMATTED)
 
-    return placed.repartition("conv_id", "part").sortWithinPartitions(*order, "text").mapInArrow(formatted, FORMATTED)
+    whole = placed.repartition("conv_id", "part").sortWithinPartitions(*order, "text").mapInArrow(formatted, FORMATTED)
+    return whole.unionAll(every.where("conv_id is null").mapInArrow(lone, FORMATTED))

@@ -716,3 +716,25 @@ def test_chat_rows(spark):
     assert out[1].rendered == "<|user|>\nhi < |x\nthere\n<|assistant|>\nyes\n" and out[1].n_merge == 1
     assert out[2].rendered == "<|user|>\n\n<|assistant|>\n\n"
     assert out[None].rendered == "<|user|>\ns\n<|assistant|>\n\n"  # a lone system turn is cheaper as a user's than with two empty turns
+
+
+def test_chat_many_parts_and_odd_rows(spark, monkeypatch):
+    """Parts of long conversations join to what the whole gives; turns without a conversation stand alone; columns that clash are ignored."""
+    rng = random.Random(11)
+    turns = [(c, t, rng.choice(["system", "user", "assistant", "bot", "tool", None]), rng.choice(["hi", "", None, "<|x"])) for c in range(6) for t in range(rng.randint(1, 40))]
+    turns += [(7, 3, "user", "same")] * 3 + [(None, None, "user", "lone")] * 50 + [(None, 9, None, None)]
+    df = spark.createDataFrame([(*t, "clash", 1) for t in turns], "conv_id long, turn long, role string, text string, conv string, part int").repartition(4)
+    whole = {r.conv_id: (r.rendered, r.cost, r.n_turns) for r in chat.format_conversations(df).where("conv_id is not null").collect()}
+    for c in whole:
+        own = sorted([t[1:] for t in turns if t[0] == c], key=lambda t: (t[0], t[1] is not None, t[1] or "", t[2] is not None, t[2] or ""))
+        roles = [chat.role_of(t[1]) for t in own]
+        cost, states = chat.chain([chat.matrix(roles)])
+        ways = chat.repair(roles)
+        assert whole[c] == (chat.render(ways, [t[2] for t in own], chat.ENDS[states[-1]][1]), pytest.approx(cost), len(own))
+    alone = chat.format_conversations(df).where("conv_id is null").collect()
+    assert len(alone) == 51 and sum(r.rendered == "<|user|>\nlone\n<|assistant|>\n\n" for r in alone) == 50
+    monkeypatch.setattr(chat, "PART", 8)
+    parts = collections.defaultdict(list)
+    for r in chat.format_conversations(df).where("conv_id is not null").collect():
+        parts[r.conv_id].append((r.part, r.rendered, r.cost))
+    assert {c: ("".join(x[1] for x in sorted(p)), pytest.approx(sum(x[2] for x in p))) for c, p in parts.items()} == {c: w[:2] for c, w in whole.items()}
