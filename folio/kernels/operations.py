@@ -462,8 +462,16 @@ def seam(cost: np.ndarray, a: int, z: int) -> tuple[int, float]:
     return a + sorted(path)[len(path) // 2], total
 
 
-def split_column(v: np.ndarray, band: tuple[float, float] = (0.4, 0.6), smooth_px: int = 31, clip: float = 2.0, grid: int = 8, block: int = 51, c: float = 10, close_share: float = 0.02, close_px: int = 3, weights: tuple[float, float] = (0.7, 0.3)) -> tuple[int, float]:
-    """(column, confidence) where a spread is cut: the best-scoring column of the band, refined, or the cheapest seam, if that scores as well or nearly."""
+def split_column(v: np.ndarray, band: tuple[float, float] = (0.4, 0.6), smooth_px: int = 31, clip: float = 2.0, grid: int = 8, block: int = 51, c: float = 10, close_share: float = 0.02, close_px: int = 3, weights: tuple[float, float] = (0.7, 0.3), most_width: int = 0, gutter: int = 18, beside: int = 70, brighter: float = 6.0, evener: float = 0.88) -> tuple[int, float]:
+    """(column, confidence) where a spread is cut: the best-scoring column of the band, refined, or the cheapest seam, if that scores as well or nearly.
+
+    Pages wider than ``most_width`` are looked at in that width. The confidence weighs how deep the valley of ink is and how much brighter and
+    evener the ``gutter`` is than what lies ``beside`` it; what is 0 has no weight. Nothing is rejected.
+    """
+    if most_width and v.shape[1] > most_width:
+        small = vision.reduced(v, most_width)
+        x, sure = split_column(small, band, smooth_px, clip, grid, block, c, close_share, close_px, weights, 0, gutter, beside, brighter, evener)
+        return min(v.shape[1] - 1, round(x * v.shape[1] / small.shape[1])), sure
     g = vision.gray(v)
     h, w = g.shape
     light = vision.saturate(vision.to_lab(colour(v))[:, :, 0])
@@ -493,10 +501,13 @@ def split_column(v: np.ndarray, band: tuple[float, float] = (0.4, 0.6), smooth_p
     x = nearer if there >= 0.95 * here else x
     usual = float(np.median(smooth[a : z + 1]))
     valley = max(0.0, 1 - min(1.0, smooth[x] / usual)) if usual >= 1 else 0.0
-    lo, hi = max(0, x - max(2, w // 100)), min(w, x + max(2, w // 100) + 1)
-    bright = min(1.0, max(0.0, (mean[lo:hi].mean() - np.median(mean)) / 32 + 0.5))
-    even = min(1.0, max(0.0, 1 - deviation[lo:hi].mean() / (np.median(deviation) + 1e-6)))
-    lab = 0.65 * bright + 0.35 * even
+    lo, hi = max(0, x - gutter), min(w, x + gutter + 1)
+    sides = np.concatenate([light[:, max(0, lo - beside) : lo], light[:, hi : hi + beside]], 1).astype(float)
+    inner, lab = light[:, lo:hi].astype(float), 0.0
+    if sides.size:
+        bright = min(1.0, max(0.0, (inner.mean() - sides.mean()) / (2 * max(brighter, 1e-6))))
+        even = min(1.0, max(0.0, 1 - inner.std() / (max(evener, 1e-6) * sides.std() + 1e-6)))
+        lab = 0.65 * bright + 0.35 * even
     parts = [(q, k) for q, k in zip((valley, lab), weights) if q > 0]
     return x, min(1.0, sum(q * k for q, k in parts) / sum(k for _, k in parts)) if parts else 0.0
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from folio.kernels import operations as op
 from folio.kernels import vision
-from folio.plans.presets import NotAvailable, Operation
+from folio.plans.presets import REGISTRY, NotAvailable, Operation
 
 OUT = "page_id bigint, part int, width int, height int, channels int, pixels binary, operation string, error string"
 #: Operations whose failure leaves the page as it is.
@@ -26,9 +26,29 @@ BATCH_BYTES = 32_000_000
 Change = Callable[[np.ndarray], list[np.ndarray]]
 
 
+#: Parameters that the methods here have no notion of: any but their default raises. (The stripes of LinesRemove take no other
+#: parameter than the orientation, whatever a preset says.)
+UNKNOWN: dict[tuple[str, str | None], tuple[str, ...]] = {
+    ("Deskew", None): ("morphKernel", "maxLineGap"),
+    ("BordersRemove", "Auto"): ("bgColor",),
+    ("BordersRemove", "Integral"): ("seedBrightnessStrictness", "textureAllowance", "inpaintRadius", "borderColorVariation", "kInterpolation"),
+    ("BordersRemove", "Manual"): ("manualCutDebug",),
+    ("PunchHolesRemove", None): ("density",),
+    ("Despeckle", None): ("sizeTolerance",),
+    ("Despeckle", "Effective"): ("useDilateBeforeCC", "maxDotHeightFraction", "proximityRadiusFraction"),
+}
+
+
 def change_of(o: Operation, side: str = "Right") -> Change:
-    """What an operation does to a raster; pages of the other side pass manual borders as they are."""
+    """What an operation does to a raster; pages of the other side pass manual borders as they are.
+
+    Raises NotAvailable for a method without an operator and for a parameter that it doesn't know.
+    """
     p = o.parameters
+    for method in (None, next(iter(p.values()))):
+        for name in UNKNOWN.get((o.type, method), ()):
+            if p[name] != REGISTRY[o.type][name].default:
+                raise NotAvailable(f"{o.type}: {name} = {p[name]}")
     n = lambda name: int(p[name])
     one = lambda f: lambda v: [f(v)]
     gray = lambda f: one(lambda v: f(vision.gray(v)))
@@ -111,8 +131,22 @@ def manual(v: np.ndarray, left: int, top: int, right: int, bottom: int, cut: boo
     return out
 
 
+def split_settings(p: dict) -> dict:
+    """The parameters of an automatic split, made fit: the band in order, odd windows, weights that sum to one (evenly, if both are 0)."""
+    a, z = sorted((p["centralBandStart"], p["centralBandEnd"]))
+    ink, lab = p["weightProjection"], p["weightLab"] if p["useLabConfirmation"] else 0.0
+    weights = (ink / (ink + lab), lab / (ink + lab)) if ink + lab > 0 else (0.5, 0.5)
+    clip = p["claheClipLimit"] if p["useClahe"] else 0.0
+    whole = lambda name: int(p[name])
+    return {
+        "band": (a, z), "smooth_px": op.odd(whole("smoothWindowPx")), "clip": clip, "grid": whole("claheTileGrid"), "block": op.odd(whole("adaptiveBlockSize")), "c": p["adaptiveC"],
+        "close_share": p["closeKernelWidthFrac"], "close_px": whole("closeKernelHeightPx"), "weights": weights, "most_width": whole("analysisMaxWidth"),
+        "gutter": whole("labGutterHalfWidthPx"), "beside": whole("labNeighborWidthPx"), "brighter": p["minLDiff"], "evener": p["maxGutterStdRatio"],
+    }
+
+
 def auto_split(v: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
-    x, _ = op.split_column(v, (p["centralBandStart"], p["centralBandEnd"]))
+    x, _ = op.split_column(v, **split_settings(p))
     pad = round(v.shape[1] * p["padPercent"] / 100) if p["padPercent"] > 0 else max(0, int(p["padPx"]))
     return op.halves(v, x, pad)
 

@@ -65,3 +65,23 @@ def test_sides_and_splits(spark):
     assert [(r.part, r.width) for r in halves] == [(1, 7), (2, 7)] * 2
     off = Operation("Invert", given={"invertMethod": "Invert whole page"}, in_pipeline=False)
     assert bytes(engine.run(p, [off]).collect()[0].pixels) == v.tobytes()
+
+
+def test_unknown_parameters_are_refused():
+    for kind, given in (("Deskew", {"maxLineGap": 3}), ("BordersRemove", {"borderRemovalAlgorithm": "Integral", "textureAllowance": 0.5}), ("PunchHolesRemove", {"density": 0.5}), ("Despeckle", {"despeckleMethod": "Effective", "useDilateBeforeCC": True})):
+        with pytest.raises(NotAvailable):
+            engine.change_of(Operation(kind, given=given))
+
+
+def test_split_settings():
+    p = Operation("SplitPage", given={"centralBandStart": 0.7, "centralBandEnd": 0.3, "smoothWindowPx": 10, "useLabConfirmation": False, "weightProjection": 0.2}).parameters
+    got = engine.split_settings(p)
+    assert got["band"] == (0.3, 0.7) and got["smooth_px"] == 11 and got["weights"] == (1.0, 0.0)
+    assert engine.split_settings(Operation("SplitPage", given={"weightProjection": 0, "weightLab": 0}).parameters)["weights"] == (0.5, 0.5)
+    rng = np.random.default_rng(2)
+    v = np.full((80, 1000), 235, np.uint8)
+    for y in range(8, 72, 8):
+        v[y : y + 3, 40:460] = rng.integers(0, 90, (3, 420))
+        v[y : y + 3, 540:960] = rng.integers(0, 90, (3, 420))
+    left, right = engine.auto_split(v, Operation("SplitPage", given={"analysisMaxWidth": 400}).parameters)
+    assert abs(left.shape[1] - right.shape[1]) < 90
