@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import chat, fingerprints, language, mixing, neardup, personal, pieces, quality, search, secrets
+from folio.llm import changepoints, chat, fingerprints, language, mixing, neardup, personal, pieces, quality, resample, search, secrets, setjoin
 from folio.llm.common import table
 
 
@@ -57,13 +57,40 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changepoints.change_points(table(spark, sf_dir, "sale_lines"))
+
+
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_fingerprints, op2_top_k_search, op3_quality, op4_secrets, op5_mixing, op6_language, op6_page_language, op7_chat_format, op8_near_duplicates, op9_personal_data, op10_pieces)
+        for f in (
+            op1_fingerprints,
+            op2_top_k_search,
+            op3_quality,
+            op4_secrets,
+            op5_mixing,
+            op6_language,
+            op6_page_language,
+            op7_chat_format,
+            op8_near_duplicates,
+            op9_personal_data,
+            op10_pieces,
+            op11_change_points,
+            op12_set_join,
+            op13_resample,
+        )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the operators is SQL as a whole; see tests/llm for the brute-force versions they are held against."""
-    return {}
+    """Operators 11 and 12 are SQL as a whole; see tests/llm for the brute-force versions that the others are held against."""
+    return {"op11_change_points": changepoints.SQL, "op12_set_join": setjoin.SQL}
