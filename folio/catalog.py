@@ -414,12 +414,13 @@ register("o164_packed_and_back", "SELECT page_id, y, x, v FROM px", PX)(lambda s
 
 
 def queries() -> dict[str, Query]:
-    from folio import catalog_more  # registers its own
+    from folio import catalog_more, catalog_presets  # noqa: F401  each registers its own
 
     return dict(catalog_more.catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     from folio import catalog_more
 
     return dict(catalog_more.catalog.SQL)

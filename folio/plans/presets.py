@@ -8,6 +8,7 @@ nothing is read after a split.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -252,22 +253,25 @@ REGISTRY: dict[str, dict[str, Number | Choice | Flag]] = {
 SPELLINGS = {"treshFrac": "threshFrac", "borderColorTolerance": "borderColorVariation"}
 
 
+#: Texts that are read as numbers.
+NUMERAL = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+
+
 def coerce(kind: Number | Choice | Flag, raw: object) -> object:
-    """A saved value as the parameter takes it; what can't be taken is the default."""
+    """A saved value as the parameter takes it; what can't be taken is the default. Flags and options take whole numbers, not fractions."""
+    index = raw if isinstance(raw, int) and not isinstance(raw, bool) and -(2**31) <= raw < 2**31 else None
     if isinstance(kind, Flag):
         if isinstance(raw, str):
             return {"true": True, "false": False}.get(raw.strip().lower(), kind.default)
-        return bool(raw) if isinstance(raw, (bool, int, float)) else kind.default
+        return raw if isinstance(raw, bool) else kind.default if index is None else index != 0
     if isinstance(kind, Choice):
         if isinstance(raw, str):
             return next((o for o in kind.options if o == raw), next((o for o in kind.options if o.lower() == raw.lower()), kind.default))
-        if isinstance(raw, int) and not isinstance(raw, bool) and 0 <= raw < len(kind.options):
-            return kind.options[raw]
-        return kind.default
-    try:
-        value = float(raw) if isinstance(raw, (int, float, str)) and not isinstance(raw, bool) else kind.default
-    except ValueError:
-        value = kind.default
+        return kind.options[index] if index is not None and 0 <= index < len(kind.options) else kind.default
+    if isinstance(raw, str):
+        value = float(raw) if NUMERAL.fullmatch(raw.strip(" ")) else kind.default
+    else:
+        value = float(raw) if isinstance(raw, (int, float)) and not isinstance(raw, bool) else kind.default
     return kind.default if value != value else min(kind.most, max(kind.least, value))
 
 
@@ -281,7 +285,7 @@ class Operation:
 
     def __post_init__(self) -> None:
         known = REGISTRY[self.type]
-        given = {SPELLINGS.get(k, k): v for k, v in self.given.items()}
+        given = {SPELLINGS[k]: v for k, v in self.given.items() if k in SPELLINGS} | self.given
         self.parameters = {k: coerce(kind, given[k]) if k in given else kind.default for k, kind in known.items()}
 
 
@@ -300,7 +304,8 @@ def load(text: str) -> list[Operation]:
         if name not in REGISTRY:
             continue
         parameters = row.get("parameters")
-        out.append(Operation(name, str(row.get("displayname") or name), parameters if isinstance(parameters, dict) else {}))
+        shown = row.get("displayname")
+        out = added(out, Operation(name, shown if isinstance(shown, str) and shown else name, parameters if isinstance(parameters, dict) else {}))
         if name == "SplitPage":
             break
     return out
@@ -315,6 +320,15 @@ def default() -> list[Operation]:
     return [Operation("BordersRemove"), Operation("Binarize")]
 
 
+def opened(text: str | None) -> list[Operation]:
+    """What a start finds: the saved pipeline, or the default one where nothing was saved."""
+    try:
+        rows = json.loads(text or "")
+    except ValueError:
+        return default()
+    return load(text) if isinstance(rows, list) and rows else default()
+
+
 def may_add(pipeline: list[Operation], kind: str) -> bool:
     """A split ends a pipeline: after it only one Deskew, put before it, may come."""
     types = [o.type for o in pipeline]
