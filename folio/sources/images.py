@@ -6,7 +6,6 @@ on what they do not know; as columns they give a row with ``error`` instead, so
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.sources import page_files
+
 DECODED = "path string, width int, height int, channels int, dpi int, pixels binary, error string"
 
 
@@ -381,16 +382,6 @@ def encoded(pages: DataFrame, form: str = "tif", dpi: int = 300, packing: str =
 
 
 def save(files: DataFrame, folder: str) -> DataFrame:
-    """Writes (name, content) into a folder that all executors see: under a name of the attempt first, then renamed, so a repeated task leaves one whole file. Returns the names written."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
-        for b in batches:
-            for name, content in zip(b.name, b.content):
-                part = os.path.join(folder, f".{name}.{os.getpid()}.tmp")
-                with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, os.path.join(folder, name))
-            yield b[["name"]]
-
-    return files.select("name", F.col("content")).mapInPandas(run, "name string")
+    """Writes (name, content) into a folder by the sink of page files: all of them once all tasks have succeeded, or none. Returns the names."""
+    page_files.write(files.select(F.lit(None).cast("string").alias("folder"), "name", "content", F.lit(None).cast("string").alias("error")), folder)
+    return files.select("name")
