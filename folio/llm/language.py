@@ -2,8 +2,9 @@
 
 Four sources of evidence meet in one posterior per document:
 
-* the text: naive Bayes over hashed letter trigrams, learned from about ``sample`` labelled rows, of which the languages with
-  a share of ``least_share`` or more are told apart. Trigrams of one text say much the same, so n of them count
+* the text: naive Bayes over hashed letter trigrams, learned from about ``PER_LANGUAGE`` labelled rows of each language, however rare it is among
+  all; labels of fewer than ``LEAST_ROWS`` rows are no language. All tables together are bounded (``CELLS``; at most ``MOST_LANGUAGES``, those with the most
+  rows). Trigrams of one text say much the same, so n of them count
   as sqrt(n) that are independent: evidence grows with the text, and what is ambiguous or short is left to the priors;
 * the declared language (``<html lang=...>`` in the text, else the declared column), weighed by how often
   declarations agree with texts over the whole corpus;
@@ -12,10 +13,14 @@ Four sources of evidence meet in one posterior per document:
   by those of the corpus. A host with addresses of several suffixes counts for each of them by itself. Counts
   come from grouped aggregation with map-side sums, one row a host, suffix and language.
 
-Rejected are documents whose best language stays under ``least`` or with too few letters among their signs
-(empty and null texts among them). Null declarations, hosts and addresses count as no evidence of their own
+Labels and declarations are compared by their primary part, without case (``EN``, ``en-US`` and ``en`` are one).
+
+Rejected are documents whose best language stays under ``least``, with too few letters among their signs
+(empty and null texts among them), or with ``SURE_TRIGRAMS`` trigrams or more that are as unlike their best language as texts of other languages are: those are
+of languages that were not learned. Null declarations, hosts and addresses count as no evidence of their own
 (null hosts share one prior). Ties go to the first language by code point. If no row has a language to learn
-from, nothing can be told apart: language null, confidence 0, and documents with letters are kept.
+from, nothing can be told apart: language null, confidence 0, and documents with letters are kept. Repeated rows each get the same answer and count each; a very long text is
+whole; an empty table gives an empty result; columns that ``documents`` (or ``pages``) doesn't have are ignored, also clashing ones.
 """
 
 from __future__ import annotations
@@ -32,8 +37,9 @@ from pyspark.sql import types as T
 from folio.llm.common import DOCUMENT, arrow_schema, conform, cut, fraction, map_batches
 
 BITS = 17
-SAMPLE = 8_000
-LEAST_SHARE = 0.01
+CELLS = 1 << 22  # numbers in all tables together: with more than 32 languages there are fewer buckets
+PER_LANGUAGE, LEAST_ROWS, MOST_LANGUAGES = 2_000, 3, 1_024
+SURE_TRIGRAMS, FAR = 30, 0.8  # how far from a language's own rows towards those of others is no longer of it
 SLICE = 300_000  # bytes of text at once: arrays of this size stay in the cache
 MOST_BROADCAST, SALTS = 100_000, 64
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0
@@ -46,14 +52,15 @@ LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 class Model:
     languages: list[str]
     table: np.ndarray  # log likelihood of trigrams, by bucket and language
+    floor: np.ndarray | None = None  # of each language, the mean log likelihood under which a text is of none
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all trigrams that hold a letter, whose they are, and the share of letters among the signs of each text."""
-    joined = "\n\n\n".join(texts).lower()
+    joined = "\n" + "\n\n\n".join(texts).lower() + "\n"  # a text counts the same wherever it stands in its slice
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t.lower()) for t in texts], np.int64)
-    starts = np.cumsum(lengths + 3) - lengths - 3
+    starts = np.cumsum(lengths + 3) - lengths - 2
     letters = LETTER[codes]
     codes = np.where(letters, codes, np.uint32(32))
     h = ((codes[:-2] * np.uint32(0x9E3779B1)) ^ (codes[1:-1] * np.uint32(0x85EBCA6B)) ^ (codes[2:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F)
@@ -64,26 +71,60 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (h[used] >> np.uint32(32 - BITS)).astype(np.int32), owner, of / np.maximum(signs, 1)
 
 
-def log_likelihoods(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def likelihoods(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of log likelihoods by text and language, trigrams of each text, and shares of letters."""
     h, owner, share = trigrams(texts)
-    out = np.zeros((len(texts), len(model.languages)))
-    for k in range(len(model.languages)):
-        out[:, k] = np.bincount(owner, model.table[h, k], len(texts)) if len(h) else 0.0
-    n = np.bincount(owner, minlength=len(texts))[:, None]
-    return out / np.sqrt(np.maximum(n, 1)), share
+    n, k = np.bincount(owner, minlength=len(texts)), len(model.languages)
+    out = np.zeros((len(texts), k))
+    if k and len(h):
+        h = h >> (BITS - (len(model.table).bit_length() - 1))
+        if k <= 16:
+            for i in range(k):
+                out[:, i] = np.bincount(owner, model.table[h, i], len(texts))
+        else:  # a row of the table at a time
+            for at in range(0, len(h), step := max(1, (1 << 22) // k)):
+                part = owner[at : at + step]
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                out[part[first]] += np.add.reduceat(model.table[h[at : at + step]], first, axis=0, dtype=np.float64)
+    return out, n, share
+
+
+def log_likelihoods(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    out, n, share = likelihoods(model, texts)
+    return out / np.sqrt(np.maximum(n, 1))[:, None], share
+
+
+def of_none(model: Model, sums: np.ndarray, n: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Whether a text is far from what the rows of its language are like."""
+    if model.floor is None:
+        return np.zeros(len(n), bool)
+    return (n >= SURE_TRIGRAMS) & (sums[np.arange(len(n)), best] < model.floor[best] * n)
 
 
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.LongType()), T.StructField("counts", T.BinaryType())])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, least_share: float = LEAST_SHARE) -> Model:
-    """Trigram tables from the rows of lowest hash, about ``sample`` of them whatever the input, in 1 / ``least_share`` languages at most."""
-    rows = conform(docs, DOCUMENT).select("lang", "text", "doc_id").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    labels = cut(rows.groupBy("lang").count())
-    total = labels.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    rows = rows.where(F.col("lang").isin([r["lang"] for r in labels.where(F.col("count") >= F.lit(least_share * total)).collect()]))
-    if total > sample:
-        rows = rows.where(fraction("doc_id", seed=6) < sample / total)
+def primary(label: Column) -> Column:
+    """The primary part of a label, in lower case: en of EN, en-US and en_us; null where there is none."""
+    lower = F.lower(F.trim(label))
+    return F.nullif(F.when(lower.rlike("^[a-z]{2,3}[-_]"), F.regexp_extract(lower, "^[a-z]+", 0)).otherwise(lower), F.lit(""))
+
+
+def primary_of(label: str) -> str:
+    lower = label.strip(" ").lower()
+    return m.group(1) if (m := re.match("([a-z]{2,3})[-_]", lower)) else lower
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, least_rows: int = LEAST_ROWS) -> Model:
+    """Trigram tables of all languages with ``least_rows`` labelled rows: of each about ``per_language`` rows, those of the lowest hash."""
+    spark = docs.sparkSession
+    rows = conform(docs, DOCUMENT).select(primary(F.col("lang")).alias("lang"), "text", "doc_id").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labels = rows.groupBy("lang").count().where(F.col("count") >= least_rows).orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    if not labels:
+        return Model([], np.zeros((1 << BITS, 0), np.float32))
+    bits = min(BITS, (CELLS // len(labels)).bit_length() - 1)
+    part = spark.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in labels], "lang string, part double")
+    taken = rows.join(F.broadcast(part), "lang").where((F.col("part") >= 1) | (fraction("doc_id", "text", seed=6) < F.col("part")))
 
     def run(batches):
         tables: dict[str, np.ndarray] = {}
@@ -94,18 +135,20 @@ def train(docs: DataFrame, sample: int = SAMPLE, least_share: float = LEAST_SHAR
             for lang, texts in by.items():
                 for at in range(0, len(texts), 500):
                     h, _, _ = trigrams(texts[at : at + 500])
-                    tables[lang] = tables.get(lang, 0) + np.bincount(h, minlength=1 << BITS)
+                    tables[lang] = tables.get(lang, 0) + np.bincount(h >> (BITS - bits), minlength=1 << bits)
         schema = arrow_schema(COUNTS)
         for lang, t in tables.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([int(t.sum())]), pa.array([t.astype(np.float32).tobytes()], pa.binary())], schema=schema)
 
-    found = sorted((r["lang"], r["counts"]) for r in rows.select("lang", "text").repartition(1).mapInArrow(run, COUNTS).collect())
-    if not found:
-        return Model([], np.zeros((1 << BITS, 0), np.float32))
+    found = sorted((r["lang"], r["counts"]) for r in taken.select("lang", "text").repartition("lang").mapInArrow(run, COUNTS).collect())
     counts = np.stack([np.frombuffer(c, np.float32) for _, c in found], axis=1).astype(np.float64)
     overall = counts.sum(axis=1, keepdims=True) + 0.1
     smooth = counts + 200.0 * overall / overall.sum()  # rare trigrams fall back to the corpus
-    return Model([lang for lang, _ in found], np.log(smooth / smooth.sum(axis=0)).astype(np.float32))
+    logs = np.log(smooth / smooth.sum(axis=0))
+    met = (counts / np.maximum(counts.sum(axis=0), 1)).T @ logs  # the mean of each language's trigrams in each one's table
+    own, k = np.diag(met), len(found)
+    floor = own - FAR * (own - (met.sum(axis=0) - own) / (k - 1)) if k > 1 else None
+    return Model([lang for lang, _ in found], logs.astype(np.float32), floor)
 
 
 def suffix_of(address: Column, host: Column) -> Column:
@@ -136,7 +179,7 @@ def declared_index(model: Model, texts: list[str], declared: list[str | None]) -
     known = {x: i for i, x in enumerate(model.languages)}
     out = []
     for text, said in zip(texts, declared):
-        said = marked(text) or (said.lower()[:2] if said else None)
+        said = marked(text) or (primary_of(said) if said else None)
         out.append(-1 if not said else known.get(said, len(known)))
     return np.array(out, np.int64)
 
@@ -200,8 +243,11 @@ VERDICT = [
 ]
 
 
-def identify(df: DataFrame, model: Model, carry: list[str], least: float = 0.5, least_letters: float = 0.2) -> DataFrame:
-    """The ``carry`` columns of ``df`` (made by :func:`evidence`), what was identified, how sure, and whether the document is kept."""
+def identify(df: DataFrame, model: Model, carry: list[str], least: float = 0.5, least_letters: float = 0.2, strangers: bool = False) -> DataFrame:
+    """The ``carry`` columns of ``df`` (made by :func:`evidence`), what was identified, how sure, and whether the document is kept.
+
+    Texts that are like no learned language go unless ``strangers`` may stay, as raw pages do, whose markup is of no language.
+    """
     fields = [df.schema[c] for c in carry] + VERDICT
     if not model.languages:
         prior, agree = None, None
@@ -218,7 +264,8 @@ def identify(df: DataFrame, model: Model, carry: list[str], least: float = 0.5,
         def step(batch: pa.RecordBatch) -> dict:
             texts = [t or "" for t in batch["text"].to_pylist()]
             out = {c: batch[c] for c in carry}
-            ll, share = log_likelihoods(model, texts)
+            sums, n, share = likelihoods(model, texts)
+            ll = sums / np.sqrt(np.maximum(n, 1))[:, None]
             if not k:
                 return out | {"identified": [None] * len(texts), "confidence": [0.0] * len(texts), "text_lang": [None] * len(texts), "kept": share >= least_letters}
             declared = declared_index(model, texts, batch["evidence_declared"].to_pylist())
@@ -228,7 +275,7 @@ def identify(df: DataFrame, model: Model, carry: list[str], least: float = 0.5,
             p /= p.sum(axis=1, keepdims=True)
             best, sure = p.argmax(axis=1), p.max(axis=1)
             name = np.array(model.languages, object)
-            return out | {"identified": name[best].tolist(), "confidence": sure, "text_lang": name[ll.argmax(axis=1)].tolist(), "kept": (sure >= least) & (share >= least_letters)}
+            return out | {"identified": name[best].tolist(), "confidence": sure, "text_lang": name[ll.argmax(axis=1)].tolist(), "kept": (sure >= least) & (share >= least_letters) & (strangers | ~of_none(model, sums, n, best))}
 
         return step
 
@@ -236,10 +283,10 @@ def identify(df: DataFrame, model: Model, carry: list[str], least: float = 0.5,
     return map_batches(joined.select(*needed), T.StructType(fields), make, size=SLICE)
 
 
-def identify_documents(docs: DataFrame, carry: list[str], sample: int = SAMPLE) -> DataFrame:
+def identify_documents(docs: DataFrame, carry: list[str]) -> DataFrame:
     """For ``documents``: ``lang`` is the declared language, ``source`` the host."""
     rows = conform(docs, DOCUMENT)
-    return identify(evidence(rows, F.col("source"), F.col("lang")), train(rows, sample), carry)
+    return identify(evidence(rows, F.col("source"), F.col("lang")), train(rows), carry)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -252,4 +299,4 @@ def identify_pages(pages: DataFrame, model: Model) -> DataFrame:
     """For ``pages`` (page_id, url, html): markup, path or host suffix, and the host of the address as evidence."""
     rows = conform(pages, T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())]))
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z]+://([^/:?#]+)", 1)
-    return identify(evidence(rows.withColumnRenamed("html", "text"), host, F.lit(None).cast("string"), F.col("url")), model, ["page_id", "url"])
+    return identify(evidence(rows.withColumnRenamed("html", "text"), host, F.lit(None).cast("string"), F.col("url")), model, ["page_id", "url"], strangers=True)

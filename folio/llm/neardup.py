@@ -15,6 +15,7 @@
   shingles are cut into blocks and each two blocks meet in a task of their own, so no task holds a large group.
   What leaves a task is a spanning forest of the links. Components of those are the result.
 
+An empty table gives an empty one; columns other than those of ``documents`` are ignored, also clashing ones; repeated rows are each told; very long texts are whole.
 Component ids are least doc_ids; a null id counts as the least (-2^63), so components that both have a null id, or one
 repeated id, as their least share that number. One row of each component is kept: of the least id, and of rows of that
 id the one whose columns have the least hash (of wholly equal rows, any). Empty documents have the component of their
@@ -123,11 +124,16 @@ def spread(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(SPREAD)).cast("int")
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def salted(df: DataFrame, salts: int = SPREAD) -> DataFrame:
+    """Each row once for each salt, for the lesser side of a join with a hot key."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of the components of (a, b) links, for nodes that have any; root is the least node.
 
-    Large-star and small-star rounds; each is two grouped minima and joins, and is checkpointed, so nothing grows
-    on one task and a lost executor costs one round.
+    Large-star and small-star rounds until nothing changes, some log n squared of them; each is two grouped minima and joins, and is
+    checkpointed, so nothing grows on one task and a lost executor costs one round.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
@@ -135,23 +141,18 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = weight(edges)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))  # a hot node is several tasks
-        large = both.where("v > u").withColumn("salt", spread("v")).join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").withColumn("salt", spread("v")).join(salted(least), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         lesser = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lesser, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = large.withColumn("salt", spread("v")).join(salted(lesser), ["u", "salt"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = cut(small.where("u <> v").distinct())
         after = weight(edges)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
@@ -165,8 +166,7 @@ def clusters(classes: DataFrame) -> DataFrame:
     tables = alive.select("id", F.explode(first).alias("a"), second.alias("bs")).select("id", "a", F.explode("bs").alias("b"))
     tables = tables.select("id", F.xxhash64("a.i", "a.k", "b.i", "b.k").alias("table_key"))
     hubs = tables.groupBy("table_key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("table_key", "hub")
-    hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))  # a hot key is several tasks
-    met = tables.withColumn("salt", spread("id")).join(hubs, ["table_key", "salt"]).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    met = tables.withColumn("salt", spread("id")).join(salted(hubs), ["table_key", "salt"]).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     return components(met)
 
 
@@ -215,8 +215,9 @@ def links(docs: DataFrame, grouped: DataFrame, n: int, percent: int) -> DataFram
 
     sums = grouped.groupBy("root").agg(F.sum("n_shingles").alias("total")).select("root", F.ceil(F.col("total") / CLUSTER_SHINGLES).cast("int").alias("blocks"))
     texts = sealed(docs).select("id", "seal", "text")
-    placed = grouped.join(sums, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    full = texts.join(placed, ["id", "seal"]).select("root", F.col("node").alias("id"), "text", "blocks", "block").dropDuplicates(["id"])
+    # A large cluster is many tasks, and so are rows that are repeated very often.
+    placed = grouped.withColumn("salt", spread("node")).join(salted(sums), ["root", "salt"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("salt")
+    full = texts.withColumn("salt", (F.monotonically_increasing_id() % SPREAD).cast("int")).join(salted(placed), ["id", "seal", "salt"]).select("root", F.col("node").alias("id"), "text", "blocks", "block").dropDuplicates(["id"])
     sets = map_batches(full, SETS, make)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y")))
     dealt = sets.select("root", "id", "shingles", "block", F.explode(pairs).alias("pair")).select("root", "pair.x", "pair.y", "block", "id", "shingles")
@@ -264,10 +265,13 @@ def judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
     roots = cut(components(links(docs, grouped, n, percent)))
     first = by_set.select("node", F.struct("of.id", "of.seal", "of.row").alias("least"))
     heads = roots.join(first, "node").groupBy("root").agg(F.min("least").alias("head"))
-    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a large component is many tasks
-    headed = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(heads, ["root", "salt"]).select("node", "head")
+    # A large component is many tasks.
+    headed = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted(heads, SALTS), ["root", "salt"]).select("node", "head")
     by_class = by_set.join(headed, "node", "left").select("set_key", F.coalesce("head", F.struct("of.id", "of.seal", "of.row")).alias("head"))
-    out = all_rows.join(by_class, "set_key", "left")
+    # So is a class of very many copies, as its rows meet it by salt; rows without words meet nothing.
+    rows = full.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    parts = rows.select("set_key", "salt").distinct().join(by_class, "set_key")
+    out = rows.join(parts, ["set_key", "salt"], "left").drop("salt").unionByName(all_rows.where("set_key is null"), allowMissingColumns=True)
     kept = F.col("set_key").isNull() | (F.col("row") == F.col("head.row"))
     return out.select("doc_id", "id", "seal", "n_shingles", F.coalesce("head.id", "id").alias("component_id"), kept.alias("kept"))
 

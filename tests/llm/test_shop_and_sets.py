@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from folio.llm import changepoints, packed, resample, setjoin
+from folio.llm import changepoints, language, neardup, packed, resample, setjoin
 
 LINES = "sale_id long, vendor_id long, quantity int, flag string, shipped_at timestamp_ntz, day int, amount double, key int, v long"
 
@@ -208,3 +208,104 @@ def test_resample_of_nothing(spark):
     rows = texts(7, 40)
     got = sorted([(r.doc_id, r.n_features, r.weight, r.score, r["rank"]) for r in resample.resample(frame(spark, rows), none).collect()], key=str)
     assert got == brute_resample(rows, [])
+
+
+def made_up(code, rng):
+    """A language of its own: syllables of few letters."""
+    letters = rng.sample("abcdefghijklmnopqrstuvwxyzäöüéèñçøåßł", 9)
+    syllables = ["".join(rng.choice(letters) for _ in range(rng.choice([2, 3]))) for _ in range(25)]
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.choice([1, 2, 3]))) for _ in range(150)]
+    return lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(40, 80)))
+
+
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long, suffix string, best int"
+
+
+def told(spark, rows):
+    frame_ = spark.createDataFrame([(i, t, k, h, 1, "clash", 7) for i, t, k, h in rows], SHAPE).repartition(4)
+    return {r.doc_id: r for r in language.identify_documents(frame_, ["doc_id", "lang"]).collect()}
+
+
+def test_rare_languages_are_kept(spark):
+    rng = random.Random(21)
+    write = {k: made_up(k, rng) for k in ("en", "fr", "sw", "xx")}
+    rows = [(i, write[k](), k, "web") for i in range(2000) for k in ["sw" if i % 200 == 0 else ("en", "fr")[i % 2]]]
+    rows += [(5000, write["xx"](), None, "web"), (5001, write["sw"](), "en", "web"), (5002, write["sw"]() * 200, None, None)]
+    got = told(spark, rows)
+    assert all(got[i].identified == "sw" and got[i].kept for i in range(0, 2000, 200))
+    assert got[5001].identified == got[5002].identified == "sw"
+    assert not got[5000].kept  # a language that nobody has labelled
+    assert all(got[i].identified == got[i].lang and got[i].kept for i in range(2000))
+    kept = language.keep_identified(spark.createDataFrame([(i, t, k, h, 1, "clash", 7) for i, t, k, h in rows], SHAPE))
+    assert kept.count() == 2002 and kept.where("lang = 'sw'").count() == 12
+
+
+def test_a_hundred_languages(spark):
+    rng = random.Random(22)
+    codes = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    write = {k: made_up(k, rng) for k in codes}
+    drawn = [k for n, k in enumerate(codes) for _ in range(8 + (n % 10) * 8)]
+    rows = [(i, write[k](), rng.choice([k, k.upper(), f"{k}-XX", f" {k}_yy"]), "web") for i, k in enumerate(drawn)]
+    got = told(spark, rows)
+    right = collections.Counter(k for i, k in enumerate(drawn) if got[i].identified == k and got[i].kept)
+    assert all(right[k] >= 0.9 * drawn.count(k) for k in codes)
+
+
+def test_labels_and_declarations_by_their_primary_part(spark):
+    for label in ("EN", "en-US", " en_gb ", "eng", "English", "", "x-y", "zh-Hant"):
+        want = language.primary_of(label) or None
+        assert spark.range(1).select(language.primary(language.F.lit(label)).alias("p")).first().p == want
+    assert [language.primary_of(x) for x in ("EN", "en-US", "en_gb", "eng", "English")] == ["en", "en", "en", "eng", "english"]
+
+
+def test_language_of_documents_is_that_of_a_plain_version(spark):
+    """All that op6_language returns, from the model's tables on, on odd rows too."""
+    rng = random.Random(23)
+    write = {k: made_up(k, rng) for k in ("en", "fr", "de")}
+    rows = [(i, rng.choice([write[k](), write[k]()[:9], "7 %", ""]), rng.choice([k, k, None, "FR", "qq"]), rng.choice(["a.fr", "b", "c.de", None])) for i in range(240) for k in [("en", "fr", "de")[i % 3]]]
+    rows += [(None, None, None, None), (7, rows[7][1], rows[7][2], rows[7][3]), (8, '<HTML class=x lang="fr-FR"> ' + write["en"](), "en", "b")]
+    frame_ = spark.createDataFrame([(i, t, k, h, 1, "clash", 7) for i, t, k, h in rows], SHAPE)
+    model = language.train(frame_)
+    known, n = model.languages, len(rows)
+    ll, share = language.log_likelihoods(model, [t or "" for _, t, _, _ in rows])
+    best = ll.argmax(axis=1).tolist()
+    place = [(h or "", h.rpartition(".")[2] if h and "." in h else "") for *_, h in rows]
+    said = ["fr" if "lang=" in (t or "") else language.primary_of(k) if k else None for _, t, k, _ in rows]
+    said = [None if x is None else known.index(x) if x in known else len(known) for x in said]
+    total = [1 + best.count(k) for k in range(len(known))]
+    base = [x / sum(total) for x in total]
+
+    def share_of(at, above, weight):
+        return [(sum(best[j] == k for j in at) + weight * above[k]) / (len(at) + weight) for k in range(len(known))]
+
+    want = []
+    for i in range(n):
+        around = share_of([j for j in range(n) if place[j][1] == place[i][1]], base, language.SUFFIX_WEIGHT)
+        p = np.log(share_of([j for j in range(n) if place[j] == place[i]], around, language.HOST_WEIGHT)) + ll[i]
+        if said[i] is not None:
+            agree = [[0.02 + sum(said[j] == d and best[j] == k for j in range(n)) for k in range(len(known))] for d in range(len(known) + 1)]
+            p = p + [math.log(agree[said[i]][k] / sum(a[k] for a in agree)) for k in range(len(known))]
+        p = np.exp(p - p.max())
+        p /= p.sum()
+        sums, grams, _ = language.likelihoods(model, [rows[i][1] or ""])
+        far = grams[0] >= 30 and sums[0, p.argmax()] / max(grams[0], 1) < model.floor[p.argmax()]
+        want.append((rows[i][0], known[int(p.argmax())], round(float(p.max()), 6), known[best[i]], bool(p.max() >= 0.5 and share[i] >= 0.2 and not far)))
+    got = [(r.doc_id, r.identified, round(r.confidence, 6), r.text_lang, r.kept) for r in language.identify_documents(frame_, ["doc_id"]).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str), [x for x in zip(sorted(got, key=str), sorted(want, key=str), strict=True) if x[0] != x[1]]
+    assert {w[4] for w in want} == {True, False}
+
+
+@pytest.mark.parametrize("text", [None, "one and the same text of some words in all of these rows"])
+def test_hot_rows_are_dealt_out(spark, text):
+    """Rows without words, or copies of one text (with one id, or none), are many tasks, without help at run time."""
+    docs = spark.createDataFrame([(None if i % 2 else i, text) for i in range(20_000)] + [(30_000 + i, f"text {i} " * 9) for i in range(50)], "doc_id long, text string").repartition(4)
+    for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, {"spark.sql.adaptive.enabled": "false"}.get(key, "-1"))
+    try:
+        for out in (neardup.judged(docs, 2, 80), setjoin.join(docs)):
+            rows = out.groupBy(language.F.spark_partition_id().alias("p")).count().collect()
+            assert sum(r["count"] for r in rows) == 20_050
+            assert max(r["count"] for r in rows) < 8_000
+    finally:
+        for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
