@@ -147,7 +147,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").withColumn("salt", spread("v")).join(salted(least), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         lesser = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.withColumn("salt", spread("v")).join(salted(lesser), ["u", "salt"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = large.join(lesser, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = cut(small.where("u <> v").distinct())
         after = weight(edges)
         if after == before:
@@ -259,7 +259,7 @@ def judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
     all_rows = cut(signed(docs, n).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("row", F.monotonically_increasing_id()))
     full = all_rows.where("set_key is not null")
     # One row a class, with map-side minima: hot copies are one row a task.
-    by_set = cut(full.groupBy("set_key").agg(F.min(F.struct("id", "seal", "row", "n_shingles", "keys")).alias("of")).withColumn("node", F.xxhash64("set_key")))
+    by_set = cut(full.groupBy("set_key").agg(F.min(F.struct("id", "seal", "row", "n_shingles", "keys")).alias("of"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("set_key")))
     classes = by_set.select(F.col("node").alias("id"), "of.n_shingles", "of.keys")
     grouped = clusters(classes).join(by_set.select("node", "of.n_shingles", "of.id", "of.seal"), "node")
     roots = cut(components(links(docs, grouped, n, percent)))
@@ -267,12 +267,13 @@ def judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
     heads = roots.join(first, "node").groupBy("root").agg(F.min("least").alias("head"))
     # A large component is many tasks.
     headed = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted(heads, SALTS), ["root", "salt"]).select("node", "head")
-    by_class = by_set.join(headed, "node", "left").select("set_key", F.coalesce("head", F.struct("of.id", "of.seal", "of.row")).alias("head"))
-    # So is a class of very many copies, as its rows meet it by salt; rows without words meet nothing.
+    # What classes of one row, alone in their component, are told is what they are. A class of very many copies is many tasks, as
+    # its rows meet it by salt; rows without words meet nothing.
+    by_class = by_set.join(headed, "node", "left").where("head is not null or copies > 1").select("set_key", F.coalesce("head", F.struct("of.id", "of.seal", "of.row")).alias("head"))
     rows = full.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    parts = rows.select("set_key", "salt").distinct().join(by_class, "set_key")
+    parts = cut(rows.select("set_key", "salt").distinct().join(by_class, "set_key"))
     out = rows.join(parts, ["set_key", "salt"], "left").drop("salt").unionByName(all_rows.where("set_key is null"), allowMissingColumns=True)
-    kept = F.col("set_key").isNull() | (F.col("row") == F.col("head.row"))
+    kept = F.col("head").isNull() | (F.col("row") == F.col("head.row"))
     return out.select("doc_id", "id", "seal", "n_shingles", F.coalesce("head.id", "id").alias("component_id"), kept.alias("kept"))
 
 
