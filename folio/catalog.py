@@ -414,7 +414,7 @@ register("o164_packed_and_back", "SELECT page_id, y, x, v FROM px", PX)(lambda s
 
 
 def queries() -> dict[str, Query]:
-    from folio import catalog_files, catalog_more, catalog_presets, catalog_resize, catalog_runs  # noqa: F401  each registers its own
+    from folio import catalog_boxes, catalog_files, catalog_more, catalog_presets, catalog_resize, catalog_runs  # noqa: F401  each registers its own
 
     return dict(catalog_more.catalog.QUERIES)
 

@@ -247,4 +247,3 @@ register(
     r"""SELECT conv_id, turn, (sure >= 50 AND n >= 3 AND share >= 0.5) OR (sure >= 30 AND n >= 1 AND share >= 0.9) AS confirmed FROM (SELECT conv_id, turn, sure, n, CASE WHEN seen > 0 THEN n / seen::DOUBLE ELSE 0 END AS share FROM
     (SELECT conv_id, turn, (conv_id * 37 + turn * 13) % 100 AS sure, length(regexp_replace(trim(coalesce(text, '')), '[^\p{L}\p{N}]', '', 'g')) AS n, length(regexp_replace(trim(coalesce(text, '')), '[\p{Cc}\s]', '', 'g')) AS seen FROM conversations))""",
 )(lambda spark, d: regions.confirmed(rasters.table(spark, d, "conversations").withColumn("sure", (F.col("conv_id") * 37 + F.col("turn") * 13) % 100)).select("conv_id", "turn", "confirmed"))
-register("o110_merged_boxes", None)(lambda spark, d: masks.merged(catalog.boxes(spark, d), 0, 0.1, 0.0))

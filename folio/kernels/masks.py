@@ -212,14 +212,3 @@ def merged_boxes(rows: list[tuple[int, int, int, int]], gap: int, overlap: float
         if new == left:
             return left
         left = new
-
-
-def merged(boxes: DataFrame, gap: int = 10, overlap: float = 0.1, centre: float = 0.0) -> DataFrame:
-    """(page_id, x, y, w, h): near boxes of each page joined, until none are near. A page's boxes make one group."""
-    cols = "page_id bigint, x bigint, y bigint, w bigint, h bigint"
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        rows = merged_boxes(list(zip(b.x.tolist(), b.y.tolist(), b.w.tolist(), b.h.tolist())), gap, overlap, centre)
-        return pd.DataFrame([(b.page_id.iloc[0], *r) for r in rows], columns=["page_id", "x", "y", "w", "h"])
-
-    return boxes.select(*[F.col(c).cast("bigint").alias(c) for c in ("page_id", "x", "y", "w", "h")]).groupBy("page_id").applyInPandas(run, cols)

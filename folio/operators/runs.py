@@ -57,7 +57,12 @@ def contracted(links: DataFrame) -> DataFrame:
 
 def labelled(px: DataFrame, on: Column, corners: bool = True) -> DataFrame:
     """(page_id, y, x0, x1, label): runs with the place of the first pixel, by rows, of their component."""
-    found = cut(runs(px, on))
+    return rooted(runs(px, on), corners)
+
+
+def rooted(found: DataFrame, corners: bool = True) -> DataFrame:
+    """``labelled`` for runs that are there already; those of a row are apart from each other."""
+    found = cut(found)
     roots = contracted(touching(found, corners))
     node = F.col("y") * ROW + F.col("x0")
     return found.withColumn("node", node).join(roots, ["page_id", "node"], "left").select("page_id", "y", "x0", "x1", F.coalesce("root", "node").alias("label"))
