@@ -414,7 +414,7 @@ register("o164_packed_and_back", "SELECT page_id, y, x, v FROM px", PX)(lambda s
 
 
 def queries() -> dict[str, Query]:
-    from folio import catalog_boxes, catalog_bricks, catalog_files, catalog_more, catalog_presets, catalog_resize, catalog_runs, catalog_votes  # noqa: F401  each registers its own
+    from folio import catalog_boxes, catalog_bricks, catalog_codes, catalog_colour_groups, catalog_files, catalog_more, catalog_presets, catalog_resize, catalog_runs, catalog_seams, catalog_votes  # noqa: F401  each registers its own
 
     return dict(catalog_more.catalog.QUERIES)
 

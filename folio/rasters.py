@@ -50,6 +50,19 @@ def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("page_id", "n", F.floor(F.col("i") / TEXT_WIDTH).cast("int").alias("y"), (F.col("i") % TEXT_WIDTH).cast("int").alias("x"), F.least(F.lit(255), F.ascii("c")).alias("v"))
 
 
+def filled_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text pages with the rest of the last row white."""
+    n = F.length("text")
+    c = table(spark, sf_dir, "documents").where(n > 0).select(F.col("doc_id").alias("page_id"), F.posexplode(F.split(F.rpad("text", (F.ceil(n / TEXT_WIDTH) * TEXT_WIDTH).cast("int"), F.lit("\u00ff")), "")).alias("i", "c")).where("c <> ''")
+    return c.select("page_id", F.floor(F.col("i") / TEXT_WIDTH).cast("int").alias("y"), (F.col("i") % TEXT_WIDTH).cast("int").alias("x"), F.least(F.lit(255), F.ascii("c")).alias("v"))
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exploded 32x32 colour pages, four by four of the 8x8 ones; the last is as full as it comes."""
+    px, tile = colour_pages(spark, sf_dir), F.col("page_id") % 16
+    return px.select(F.floor(F.col("page_id") / 16).alias("page_id"), (F.floor(tile / 4) * SIDE + F.col("y")).cast("int").alias("y"), (tile % 4 * SIDE + F.col("x")).cast("int").alias("x"), "b", "g", "r")
+
+
 def packed_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gray pages packed, without a shuffle."""
     hexed = F.array_join(F.transform("embedding", lambda e: F.lpad(F.hex(level(e).cast("long")), 2, "0")), "")
