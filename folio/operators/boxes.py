@@ -108,11 +108,11 @@ def inflated(boxes: DataFrame, width: int, height: int, padding: int = 12, share
     """(page_id, x, y, w, h): around what touches, corners too, after boxes are widened and painted, in pages of one size.
 
     Each side grows by ``share`` of a box's longer side, ``padding`` at least, rounded half to even; a square then widens what is painted, ``times`` over: a quarter of the median box (upper
-    medians; with three boxes or more) between 3 and a two-hundredth of the page, 31 at most. Painted rows are stretches, not pixels. Results of two pixels or less
-    on a side go; what lies in a hole of another result stays.
+    medians; with three boxes or more) between 3 and a two-hundredth of the page, 31 at most. Rows and columns are those between two sides of painted boxes of the page, so that the work
+    is that of its boxes, not of its pixels, and no more than that of its lines. Results of two pixels or less on a side go; what lies in a hole of another result stays.
     """
     most = max(3, min(max(width, height) // 200, 31))
-    boxes = whole(boxes)
+    boxes = cut(whole(boxes))
     median = lambda side: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {side} DESC)")
     base = F.floor(F.greatest("mw", "mh") / 4)
     square = F.when(F.col("n") >= 3, F.greatest(F.lit(3), F.least(F.greatest(F.lit(3), base), F.lit(most)))).otherwise(most)
@@ -127,12 +127,21 @@ def inflated(boxes: DataFrame, width: int, height: int, padding: int = 12, share
         return F.when(end > start, F.greatest(F.lit(0), start - back)).alias(first), (F.least(F.lit(whole), end + ahead) - 1).alias(last)
 
     grown = boxes.join(squares, "page_id").withColumn("extra", extra)
-    painted = grown.select("page_id", *side("x", "w", width, "x0", "x1"), *side("y", "h", height, "y0", "y1")).where("x0 is not null and y0 is not null").distinct()
-    rows = painted.select("page_id", F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1").distinct()
+    painted = cut(grown.select("page_id", *side("x", "w", width, "x0", "x1"), *side("y", "h", height, "y0", "y1")).where("x0 is not null and y0 is not null").distinct())
+    # The sides of a page, in order: no more than it has lines. Between two of them everything is alike; neighbours stay neighbours, and a gap is a place of its own.
+    sides = lambda first, last: F.array_sort(F.array_distinct(F.concat(F.collect_set(first), F.collect_set(F.col(last) + 1))))
+    marks = painted.groupBy("page_id").agg(sides("x0", "x1").alias("xs"), sides("y0", "y1").alias("ys"))
+    place = lambda of, at: F.array_position(of, at) - 1
+    placed = painted.join(marks, "page_id").select(
+        "page_id", F.explode(F.sequence(place("ys", F.col("y0")), place("ys", F.col("y1") + 1) - 1)).alias("y"), place("xs", F.col("x0")).alias("x0"), (place("xs", F.col("x1") + 1) - 1).alias("x1")
+    )
+    rows = placed.distinct()
     line = Window.partitionBy("page_id", "y").orderBy("x0", "x1")
     fresh = F.col("x0") > F.coalesce(F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(-1))
     islands = rows.withColumn("island", F.sum(fresh.cast("long")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     stretches = islands.groupBy("page_id", "y", "island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("island")
-    found = runs.components(runs.rooted(stretches))
-    out = found.select("page_id", F.col("left_x").alias("x"), F.col("top").alias("y"), (F.col("right_x") - F.col("left_x") + 1).alias("w"), (F.col("bottom") - F.col("top") + 1).alias("h"))
+    found = runs.components(runs.rooted(stretches)).join(marks, "page_id")
+    at = lambda of, i: F.get(of, i.cast("int"))
+    x, y = at("xs", F.col("left_x")), at("ys", F.col("top"))
+    out = found.select("page_id", x.alias("x"), y.alias("y"), (at("xs", F.col("right_x") + 1) - x).alias("w"), (at("ys", F.col("bottom") + 1) - y).alias("h"))
     return out.where("w > 2 and h > 2")

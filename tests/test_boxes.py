@@ -108,3 +108,14 @@ def test_inflated(spark):
         if found:
             want[p] = sorted(tuple(map(int, b)) for b in found)
     assert got == want
+
+
+def test_inflated_on_large_pages(spark):
+    """A page of 100,000,000 lines: its boxes are the work, not its pixels."""
+    far = 50_000_000
+    rows = [(1, 0, 0, far, far), (1, 100_000, far + 40_000_000, 10, 10), (1, far + 45_000_000, 5, 10, 10)]
+    got = rows_of(boxes.inflated(spark.createDataFrame(rows, COLUMNS), 2 * far, 2 * far, 12, 0.0, 1))
+    painted = lambda x, y, w, h: (max(0, max(0, x - 12) - (k - 1 - k // 2)), max(0, max(0, y - 12) - (k - 1 - k // 2)), max(0, x - 12) + w + 24 + k // 2, max(0, y - 12) + h + 24 + k // 2)
+    k = max(3, min(max(3, 10 // 4), 31))
+    want = sorted((l, t, r - l, b - t) for l, t, r, b in (painted(*row[1:]) for row in rows))
+    assert got == {1: want}
