@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folio import rasters
 from folio.catalog import longs, register
@@ -26,11 +25,10 @@ _WAYS = """ln AS (SELECT page_id, y, list(cost ORDER BY x) AS line FROM price WH
 
 
 def found_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = seams.by_page(rasters.filled_text_pages(spark, sf_dir))
-    return seams.paths(seams.costs(px, F.col("v") <= 100), 26, 38)
+    return seams.page_paths(rasters.level_texts(spark, sf_dir, filled=True), 100, 26, 38)
 
 
-register("o120_pixel_costs", "SELECT page_id, y, x, cost FROM price", FILLED, _COST)(lambda spark, d: longs(seams.costs(seams.by_page(rasters.filled_text_pages(spark, d)), F.col("v") <= 100), "page_id", "y", "x", "cost"))
+register("o120_pixel_costs", "SELECT page_id, y, x, cost FROM price", FILLED, _COST)(lambda spark, d: longs(seams.page_costs(rasters.level_texts(spark, d, filled=True), 100), "page_id", "y", "x", "cost"))
 register("o120_seam_path", "SELECT page_id, y, CAST(i + 25 AS BIGINT) AS x FROM way", "RECURSIVE " + FILLED, _COST, _WAYS)(lambda spark, d: longs(seams.steps(found_paths(spark, d)), "page_id", "y", "x"))
 register(
     "o120_seam_column",

@@ -59,3 +59,24 @@ def test_costs(spark):
     line = [r.cost for r in seams.costs(px, F.col("v") < 128).where("y = 2").orderBy("x").collect()]
     dark, edge = 17 * 255, 3 * 128  # one slope of 255 and none: 127.5, half to even
     assert line == [dark, dark, dark + edge, edge, 0, 0, 0, edge, dark + edge, dark, dark]
+
+
+def test_packed_pages(spark):
+    """Costs and paths of packed pages are those of exploded ones; ties are frequent."""
+    rng = random.Random(5)
+    sizes = [(1, 1), (1, 6), (7, 1), (2, 9), (9, 40), (9, 1), (9, 2), (5, 200), (12, 12), (9, 3)]
+    pages = [(p, w, [rng.randrange(256) if p % 2 else rng.choice((0, 128, 255)) for _ in range(w * h)]) for p, (w, h) in enumerate(sizes)] + [(20, 8, [7] * 40)]
+    packed = spark.createDataFrame([(p, w, bytearray(v)) for p, w, v in pages] + [(30, 4, None), (31, 4, bytearray())], "page_id long, width int, pixels binary").coalesce(1)
+    px = spark.createDataFrame([(p, i // w, i % w, c) for p, w, v in pages for i, c in enumerate(v)], "page_id long, y int, x int, v int")
+    cost = seams.costs(seams.by_page(px), F.col("v") <= 100)
+    assert sorted(map(tuple, seams.page_costs(packed, 100).collect())) == sorted(map(tuple, cost.collect()))
+    for low, high in ((0, 99), (1, 6), (3, 3)):
+        got, want = ({r.page_id: tuple(r) for r in df.collect()} for df in (seams.page_paths(packed, 100, low, high), seams.paths(cost, low, high)))
+        assert got == want and got
+
+
+def test_queries_shuffle_nothing(spark):
+    from folio import catalog_seams
+
+    found = seams.steps(catalog_seams.found_paths(spark, "/root/testdata/sf0.001"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
