@@ -85,3 +85,14 @@ def test_split_settings():
         v[y : y + 3, 540:960] = rng.integers(0, 90, (3, 420))
     left, right = engine.auto_split(v, Operation("SplitPage", given={"analysisMaxWidth": 400}).parameters)
     assert abs(left.shape[1] - right.shape[1]) < 90
+
+
+def test_pages_of_one_file_are_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from folio.plans import engine, presets
+
+    rows = spark.range(400).coalesce(1).selectExpr("id AS page_id", "2 AS width", "2 AS height", "1 AS channels", "cast('abcd' AS binary) AS pixels")
+    done = engine.run(rows, [presets.Operation("Invert", given={})])
+    sizes = [r.n for r in done.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 400 and len(sizes) >= 24 and max(sizes) < 60

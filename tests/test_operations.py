@@ -313,3 +313,18 @@ def test_merging_boxes():
     assert merged_boxes(rows, 3, 0.9, 0.0) == merged_boxes(rows[::-1], 3, 0.9, 0.0) == [(0, 0, 17, 5), (30, 30, 5, 5)]
     assert merged_boxes(rows, 0, 0.3, 0.0) == sorted([*rows[:2], (30, 30, 5, 5), rows[4]])
     assert merged_boxes([], 3, 0.1, 0.0) == []
+
+
+def test_labels_of_winding_shapes():
+    """One line that winds through 1,500 rows: labels that fell by rounds took one for each of its turns."""
+    import time
+
+    from folio.kernels.components import labelled
+
+    mask = np.zeros((1500, 1500), bool)
+    mask[::2] = True
+    mask[1::4, -1] = mask[3::4, 0] = True
+    began = time.time()
+    label = labelled(mask)
+    assert time.time() - began < 10
+    assert (label[mask] == 0).all() and (label[~mask] == -1).all()
