@@ -15,3 +15,22 @@ def test_texts_are_whole(spark, tmp_path):
     assert got == want
     full = {(r.page_id, r.y) for r in entry.queries()["o164_text_rows"](spark, str(tmp_path)).collect()}
     assert full == {(1, 0), (2, 0), (2, 1)}
+
+
+def test_tiles_of_packed_pages(spark):
+    """Packed pages are equalised as exploded ones, whatever the tiles, and the query shuffles nothing."""
+    import numpy as np
+
+    from folio import catalog
+    from folio.kernels import vision
+    from folio.operators import areas
+
+    rng = np.random.default_rng(4)
+    for h, w, grid, clip in ((8, 8, 2, 32.0), (11, 7, 3, 4.0), (30, 20, 4, 2.0)):
+        pages = [rng.integers(0, 256, (h, w)), rng.integers(90, 100, (h, w)), np.where(rng.random((h, w)) < 0.5, 0, 255), np.full((h, w), 7)]
+        px = spark.createDataFrame([(p, y, x, int(v[y, x])) for p, v in enumerate(pages) for y in range(h) for x in range(w)], "page_id long, y int, x int, v int")
+        for r in areas.local_equalised(px, w, h, grid, clip).collect():
+            pages[r.page_id][r.y, r.x] = pages[r.page_id][r.y, r.x] * 1000 + r.v
+        for v in pages:
+            assert (vision.tiles_equalised((v // 1000).astype(np.uint8), grid, clip) == v % 1000).all()
+    assert "Exchange" not in catalog.queries()["o028_clahe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
