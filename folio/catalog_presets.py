@@ -107,7 +107,7 @@ register(
     FROM found f LEFT JOIN rules u ON u.type = f.type AND u.key = f.key LEFT JOIN found c ON c.preset_id = f.preset_id AND c.position = f.position AND c.key = u.control GROUP BY f.preset_id, f.position, f.key""",
     VALUES,
     f"rules(type, key, control, allowed) AS (VALUES {_RULES})",
-)(lambda spark, d: preset_tables.visible(preset_tables.values(operations(spark, d))).select("preset_id", F.col("position").cast("bigint").alias("position"), "key", "visible"))
+)(lambda spark, d: preset_tables.asked(operations(spark, d)).select("preset_id", F.col("position").cast("bigint").alias("position"), "key", "visible"))
 register(
     "o141_preset_round_trip",
     "SELECT key, kind, count(*) AS n, round(sum(number), 3) AS total, count(DISTINCT option) AS options, CAST(count(*) FILTER (WHERE flag) AS BIGINT) AS flags FROM found GROUP BY key, kind",

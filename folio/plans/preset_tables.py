@@ -164,22 +164,55 @@ def operations(presets_: DataFrame) -> DataFrame:
     return both.select("preset_id", F.row_number().over(preset.orderBy("at")).alias("position"), "type", "display_name", "parameters")
 
 
-def values(ops: DataFrame) -> DataFrame:
-    """(preset_id, position, type, key, kind, number, option, flag): every parameter of every operation, as saved if that can be taken, else its default."""
-    known = F.broadcast(registry(ops.sparkSession))  # some 200 fixed rows
+def raw_of(key: Column) -> Column:
+    """What the parameters of an operation say of a key, by its own or its other spelling."""
     other = F.create_map(*[F.lit(x) for old, new in SPELLINGS.items() for x in (new, old)])
-    rows = ops.join(known, "type").withColumn("raw", F.coalesce(F.try_element_at("parameters", F.col("key")), F.try_element_at("parameters", F.try_element_at(other, F.col("key")))))
+    return F.coalesce(F.try_element_at("parameters", key), F.try_element_at("parameters", F.try_element_at(other, key)))
+
+
+def option_of(raw: Column, options: Column, default: Column) -> Column:
+    said, text, index = F.try_variant_get(raw, "$", "string"), kind_of(raw) == "STRING", whole(raw)
+    exact = F.when(text & F.array_contains(options, F.coalesce(said, F.lit(""))), said)
+    folded = F.when(text, F.try_element_at(F.filter(options, lambda o: F.lower(o) == F.lower(said)), F.lit(1)))
+    return F.coalesce(exact, folded, F.when(index >= 0, F.try_element_at(options, (index + 1).cast("int"))), default)
+
+
+def flag_of(raw: Column, default: Column) -> Column:
+    said, json = F.try_variant_get(raw, "$", "string"), kind_of(raw)
+    low = F.lower(F.trim(said))
+    return F.coalesce(F.when(json == "BOOLEAN", said == "true"), whole(raw) != 0, F.when((json == "STRING") & low.isin("true", "false"), low == "true"), default)
+
+
+def values(ops: DataFrame, *own: str) -> DataFrame:
+    """(preset_id, position, type, key, kind, number, option, flag): every parameter of every operation, as saved if that can be taken, else its default; then ``own`` columns of the operation."""
+    known = F.broadcast(registry(ops.sparkSession))  # some 200 fixed rows
+    rows = ops.join(known, "type").withColumn("raw", raw_of(F.col("key")))
     said, json = F.try_variant_get("raw", "$", "string"), kind_of(F.col("raw"))
-    trimmed, text = F.trim(said), json == "STRING"
-    read = F.when(json.isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get("raw", "$", "double")).when(text & trimmed.rlike(NUMERAL), trimmed.cast("double"))
-    index = whole(F.col("raw"))
-    exact = F.when(text & F.array_contains("options", F.coalesce(said, F.lit(""))), said)
-    folded = F.when(text, F.try_element_at(F.filter("options", lambda o: F.lower(o) == F.lower(said)), F.lit(1)))
-    option = F.coalesce(exact, folded, F.when(index >= 0, F.try_element_at("options", (index + 1).cast("int"))), "default_option")
-    flag = F.coalesce(F.when(json == "BOOLEAN", said == "true"), index != 0, F.when(text & F.lower(trimmed).isin("true", "false"), F.lower(trimmed) == "true"), "default_flag")
+    trimmed = F.trim(said)
+    read = F.when(json.isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get("raw", "$", "double")).when((json == "STRING") & trimmed.rlike(NUMERAL), trimmed.cast("double"))
+    option, flag = option_of(F.col("raw"), F.col("options"), F.col("default_option")), flag_of(F.col("raw"), F.col("default_flag"))
     number = F.least("most", F.greatest("least", F.coalesce(read, "default_number")))
     only = lambda kind, value: F.when(F.col("kind") == kind, value)
-    return rows.select("preset_id", "position", "type", "key", "kind", only("number", number).alias("number"), only("choice", option).alias("option"), only("flag", flag).alias("flag"))
+    return rows.select("preset_id", "position", "type", "key", "kind", only("number", number).alias("number"), only("choice", option).alias("option"), only("flag", flag).alias("flag"), *own)
+
+
+def asked(ops: DataFrame) -> DataFrame:
+    """(preset_id, position, type, key, visible): ``visible`` of all parameters of operations, from what each says of the controls itself, so that no row waits for another."""
+    facts = {(r[0], r[1]): r for r in registry_rows()}
+    of: dict[tuple[str, str], list] = {(r[0], r[1]): [] for r in registry_rows()}
+    for name, key, control, allowed in rule_rows():
+        if (name, control) in facts and (name, key) in of:
+            _, _, kind, _, _, _, options, option, flag = facts[name, control]
+            of[name, key].append((control, kind, options, option, flag, allowed))
+    schema = "type string, key string, rules array<struct<control: string, kind: string, options: array<string>, default_option: string, default_flag: boolean, allowed: array<string>>>"
+    known = F.broadcast(ops.sparkSession.createDataFrame([(*k, v) for k, v in of.items()], schema))  # some 200 fixed rows
+    met = F.lit(True)
+    for i in range(max(map(len, of.values()))):  # two rules a parameter at most
+        r = F.get("rules", F.lit(i))
+        raw = raw_of(r["control"])
+        said = F.when(r["kind"] == "choice", option_of(raw, r["options"], r["default_option"])).when(r["kind"] == "flag", flag_of(raw, r["default_flag"]).cast("string"))
+        met = met & (r.isNull() | F.coalesce(F.array_contains(r["allowed"], said), F.lit(True)))
+    return ops.join(known, "type").select("preset_id", "position", "type", "key", met.alias("visible"))
 
 
 def visible(found: DataFrame) -> DataFrame:
@@ -210,12 +243,12 @@ def branches(ops: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
 def compiled(ops: DataFrame) -> DataFrame:
     """(preset_id, text): each pipeline as it is saved: numbers of types, names, and all parameters."""
-    found = values(ops)
+    found = values(ops, "display_name")
     said = F.when(F.col("kind") == "number", F.to_json(F.struct(F.col("number").alias("v")))).when(F.col("kind") == "choice", F.to_json(F.struct(F.col("option").alias("v")))).otherwise(F.to_json(F.struct(F.col("flag").alias("v"))))
     pair = F.concat(F.lit('"'), F.col("key"), F.lit('": '), F.regexp_extract(said, r'^\{"v":(.*)\}$', 1))
-    texts = found.groupBy("preset_id", "position").agg(F.array_join(F.array_sort(F.collect_list(pair)), ", ").alias("pairs"))
+    texts = found.groupBy("preset_id", "position", "type", "display_name").agg(F.array_join(F.array_sort(F.collect_list(pair)), ", ").alias("pairs"))
     number = F.array_position(F.array(*map(F.lit, TYPES)), F.col("type")) - 1
     name = F.regexp_extract(F.to_json(F.struct(F.col("display_name").alias("v"))), r'^\{"v":(.*)\}$', 1)
     item = F.concat(F.lit('{"Type": '), number.cast("string"), F.lit(', "DisplayName": '), name, F.lit(', "Parameters": {'), "pairs", F.lit("}}"))
-    rows = ops.join(texts, ["preset_id", "position"]).groupBy("preset_id").agg(F.array_sort(F.collect_list(F.struct("position", item.alias("item")))).alias("items"))
+    rows = texts.groupBy("preset_id").agg(F.array_sort(F.collect_list(F.struct("position", item.alias("item")))).alias("items"))
     return rows.select("preset_id", F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["item"]), ", "), F.lit("]")).alias("text"))

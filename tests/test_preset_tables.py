@@ -96,3 +96,16 @@ def test_rules_name_what_there_is(spark, saved):
     assert shown["Binarize"] == {"method", "blockSize", "meanC", "useGaussian", "useMorphology", "morphKernelBinarize", "morphIterationsBinarize"}
     assert shown["Invert"] == {"invertMethod"}
     assert shown["Enhance"] == {"enhanceMethod", "retinexOutputMode", "retinexUseLabL", "retinexSigma", "retinexGammaHigh", "retinexGammaLow", "retinexEps", "retinexRobustNormalize", "retinexExpClamp"}
+
+
+def test_asked_is_visible_without_an_exchange(spark):
+    """What is asked for is told of each operation alone, and equals what a join of all values finds."""
+    from folio import catalog_presets
+    from folio.plans import preset_tables
+
+    ops = catalog_presets.operations(spark, "/root/testdata/sf0.001").where("position < 4")
+    columns = ["preset_id", "position", "key", "visible"]
+    got, want = (sorted(map(tuple, df.select(*columns).collect())) for df in (preset_tables.asked(ops), preset_tables.visible(preset_tables.values(ops))))
+    assert got == want and {True, False} == {r[3] for r in got}
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert count(preset_tables.asked(ops)) == count(ops)
