@@ -34,3 +34,37 @@ def test_tiles_of_packed_pages(spark):
         for v in pages:
             assert (vision.tiles_equalised((v // 1000).astype(np.uint8), grid, clip) == v % 1000).all()
     assert "Exchange" not in catalog.queries()["o028_clahe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_page_that_fails_is_no_result(spark):
+    """Pixels of a page that could not be changed came out as if they had been."""
+    import numpy as np
+    import pytest
+
+    from folio.kernels import masks, vision
+    from folio.rasters import PAGE
+
+    page = bytearray(np.arange(64, dtype=np.uint8).tobytes())
+    pages = spark.createDataFrame([(1, 8, 8, 1, page), (2, 8, 8, 1, page[:63])], PAGE)
+    equalised = lambda df: masks.each_page(df, lambda v, row: vision.tiles_equalised(v, 2, 32.0)).collect()
+    assert [r.page_id for r in equalised(pages.where("page_id = 1"))] == [1]
+    with pytest.raises(Exception, match="page 2, 8 x 8, 63 bytes"):
+        equalised(pages)
+
+
+def test_embeddings_of_any_length_are_whole_pages(spark, tmp_path):
+    """o028_clahe of short, long and broken embeddings, as its SQL has them; short ones came out as they were."""
+    import duckdb
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    whole = (rng.random((6, 70)) - 0.5).tolist()
+    made = [whole[0][:64], whole[1][:63], whole[2], whole[3][:1], [], None, [None, *whole[4][:63]]]
+    at = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(list(enumerate(made)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(at)
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{at}/*.parquet'")
+    for name in ("o028_clahe", "o164_packed_and_back"):
+        got = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).select("page_id", "y", "x", "v").collect()))
+        assert got == sorted(con.sql(f"select page_id, y, x, v from ({entry.oracle_sql()[name]})").fetchall())
+        assert len(got) == 64 * len(made)
