@@ -235,6 +235,33 @@ def test_search_skips_blocks(data):
         shard.scored = scored
 
 
+def test_search_deals_out_queries(docs, data, monkeypatch):
+    """Steps of few shards are many tasks, each of a part of the queries; the first step was one task, however many queries and cores there are."""
+    seen, hits = [], search.hits
+    monkeypatch.setattr(search, "hits", lambda *given: (seen.append(given[4:]), hits(*given))[1])
+    monkeypatch.setattr(search, "PART", 2)
+    same_hits(search.search(docs, docs.where("doc_id % 3 = 0"), k=5).collect(), brute_search(data, [r for r in data if r[0] % 3 == 0], 5))
+    assert len(seen) == seen[0][1] > 1 and sorted(p for p, _ in seen) == list(range(len(seen)))
+    q, shard = index_of([r[1] or "" for r in data], [r[1] for r in data if r[1]][:50])
+    n = len(q.least)
+    for parts in (1, 3, 7, n):
+        assert [i for part in range(parts) for lo, hi in shard.chunks(q, part, parts) for i in range(lo, hi)] == list(range(n))
+
+
+def test_search_orders_queries_by_kind(monkeypatch):
+    """Texts of two kinds that come by turns are asked one kind after the other, by the terms of their kind alone, with the same hits."""
+    rng, np = random.Random(9), search.np
+    texts = [" ".join(rng.choice([f"k{i % 2}w{j}" for j in range(6)]) for _ in range(20)) for i in range(400)]
+    q, shard = index_of(texts, texts[:60])
+    got, order = search.alike(q)
+    assert sorted(order) == list(range(60)) and sum(a % 2 != b % 2 for a, b in zip(order, order[1:])) <= search.KINDS
+    for i, j in enumerate(order):
+        a, b, c, d = *got.starts[i : i + 2], *q.starts[j : j + 2]
+        assert (got.places[a:b] == q.places[c:d]).all() and (got.weights[a:b] == q.weights[c:d]).all()
+    want = {j: sorted(zip(-s, d)) for j, d, s in shard.top(q, 0, 60, 5)}
+    assert {order[i]: sorted(zip(-s, d)) for i, d, s in shard.top(got, 0, 60, 5)} == want
+
+
 def test_quality_scores_one_by_one(spark):
     """The learner against follow-the-regularised-leader written weight by weight, and scores that don't depend on their slice."""
     rng, np = random.Random(6), quality.np
